@@ -5,21 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sharding
+from . import langid, quality, sharding, toxicity, urls
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge_quality(_read(spark, folder, "documents")).drop("class_distance", "word_distance")
+
+
+def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge_urls(_read(spark, folder, "pages"))
+
+
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").withColumn("held_out", langid.held_out(F.col("doc_id"), 4, 2))
+    models = langid.train(docs.where(~F.col("held_out")))
+    return langid.identify(docs, models, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").withColumn("held_out", langid.held_out(F.col("doc_id"), 5, 0))
+    labels = _read(spark, folder, "labels").where(~langid.held_out(F.col("doc_id"), 5, 0))
+    return toxicity.score_toxicity(docs, toxicity.train(docs.where(~F.col("held_out")), labels), ["doc_id", "held_out"])
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(_read(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_sharding": op10_sharding}
+    return {f.__name__: f for f in (op2_quality_rules, op5_url_filters, op7_language_id, op8_toxicity, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_sharding": sharding.shards_sql()}
+    return {"op5_url_filters": urls.urls_sql(), "op10_sharding": sharding.shards_sql()}
