@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, sharding, toxicity, urls
+from . import bpe, langid, planes, quality, sharding, toxicity, urls
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode_documents(_read(spark, folder, "documents"), _word_bpe(), with_ids=False)
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge_quality(_read(spark, folder, "documents")).drop("class_distance", "word_distance")
 
@@ -34,12 +44,16 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.train(docs.where(~F.col("held_out")), labels), ["doc_id", "held_out"])
 
 
+def op9_token_planes(spark: SparkSession, folder: str) -> DataFrame:
+    return planes.plane_documents(_read(spark, folder, "documents"), _word_bpe())
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(_read(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op5_url_filters, op7_language_id, op8_toxicity, op10_sharding)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op5_url_filters, op7_language_id, op8_toxicity, op9_token_planes, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
