@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, planes, quality, sharding, toxicity, urls
+from . import bpe, decontaminate, langid, planes, quality, sharding, toxicity, urls
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge_quality(_read(spark, folder, "documents")).drop("class_distance", "word_distance")
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+
+
 def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(_read(spark, folder, "pages"))
 
@@ -53,8 +57,8 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op5_url_filters, op7_language_id, op8_toxicity, op9_token_planes, op10_sharding)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_decontamination, op5_url_filters, op7_language_id, op8_toxicity, op9_token_planes, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filters": urls.urls_sql(), "op10_sharding": sharding.shards_sql()}
+    return {"op3_decontamination": decontaminate.contamination_sql(), "op5_url_filters": urls.urls_sql(), "op10_sharding": sharding.shards_sql()}
