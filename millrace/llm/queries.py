@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, planes, quality, sharding, toxicity, urls
+from . import bpe, decontaminate, langid, neardup, planes, quality, sharding, toxicity, urls
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(_read(spark, folder, "pages"))
 
 
+def op6_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, folder, "documents"), width=4, threshold=80)
+
+
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents").withColumn("held_out", langid.held_out(F.col("doc_id"), 4, 2))
     models = langid.train(docs.where(~F.col("held_out")))
@@ -57,8 +61,8 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_decontamination, op5_url_filters, op7_language_id, op8_toxicity, op9_token_planes, op10_sharding)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_decontamination, op5_url_filters, op6_minhash, op7_language_id, op8_toxicity, op9_token_planes, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontaminate.contamination_sql(), "op5_url_filters": urls.urls_sql(), "op10_sharding": sharding.shards_sql()}
+    return {"op3_decontamination": decontaminate.contamination_sql(), "op5_url_filters": urls.urls_sql(), "op6_minhash": neardup.near_duplicates_sql(4, 80), "op10_sharding": sharding.shards_sql()}
