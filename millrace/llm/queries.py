@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, neardup, planes, quality, sharding, toxicity, urls
+from . import bpe, decontaminate, langid, neardup, planes, quality, sharding, suffixes, toxicity, urls
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
 
 
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(_read(spark, folder, "documents"), with_text=False)
+
+
 def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(_read(spark, folder, "pages"))
 
@@ -61,7 +65,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_decontamination, op5_url_filters, op6_minhash, op7_language_id, op8_toxicity, op9_token_planes, op10_sharding)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_decontamination, op4_suffix_dedup, op5_url_filters, op6_minhash, op7_language_id, op8_toxicity, op9_token_planes, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
