@@ -122,19 +122,15 @@ def proximity_matches(docs: DataFrame, queries: DataFrame, span: int, id_column:
     hits = postings(docs.withColumn("__id", F.col(id_column)), text_column, ("__id",)).join(F.broadcast(anchored), "term")
     last = F.col("position")
     starts = F.sequence(F.greatest(last - span + 1, F.lit(0)), last)
-    holds = lambda s: F.size(F.array_except("words", F.transform(F.slice(F.col("tokens"), s + F.col("lead") + 1, span), _fold))) == 0
-    rows = hits.select(F.col("__id").alias("doc_id"), F.col("phrase").alias("query_id"), F.explode(F.filter(starts, holds)).alias("start"))
+    holds = lambda s: F.size(F.array_except("words", F.slice("near", s - F.col("first") + 1, span))) == 0
+    first = F.greatest(last - span + 1, F.lit(0))
+    near = hits.select("__id", "phrase", "words", starts.alias("starts"), first.alias("first"), F.slice("tokens", first + F.col("lead") + 1, 2 * span).alias("near"))
+    rows = near.select(F.col("__id").alias("doc_id"), F.col("phrase").alias("query_id"), F.explode(F.filter("starts", holds)).alias("start"))
     return rows.distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Columns doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs.
-
-    n_hit counts the words inside any occurrence of a window of an item, n_items the items with such windows; items_sha256 is
-    over their ids as strings, sorted and comma-joined; contaminated: n_hit > 0 and 20 * n_hit >= n_words.  A null text has no
-    words; an item without words, or a null item text, matches nothing; no items, or no documents, is no error.  Null item ids
-    are left out of n_items.  Repeated rows get equal results, rows that share an id but not the text results of their own.
-    """
+def _judged(docs: DataFrame, items: DataFrame, window: int, id_column: str, text_column: str, item_id: str, item_text: str) -> DataFrame:
+    """contamination with the hash of the text as __hash, which tells documents with one id apart."""
     keyed = docs.select(F.col(id_column).alias("__id"), F.col(text_column).cast("string").alias("text"))
     keyed = keyed.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     phrases = cut(phrases_of(items, window, item_id, item_text))
@@ -151,11 +147,30 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     out = every.join(found, [every["__id"].eqNullSafe(found["__id"]), every["__hash"] == found["__hash"]], "left")
     hit, names = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
-        every["__id"].alias("doc_id"), "n_words", hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"),
+        every["__id"].alias("doc_id"), every["__hash"], "n_words", hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"), ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Columns doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs.
+
+    n_hit counts the words inside any occurrence of a window of an item, n_items the items with such windows; items_sha256 is
+    over their ids as strings, sorted and comma-joined; contaminated: n_hit > 0 and 20 * n_hit >= n_words.  A null text has no
+    words; an item without words, or a null item text, matches nothing; no items, or no documents, is no error.  Null item ids
+    are left out of n_items.  Repeated rows get equal results, rows that share an id but not the text results of their own.
+    """
+    return _judged(docs, items, window, id_column, text_column, item_id, item_text).drop("__hash")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs that aren't contaminated, with all columns."""
+    bad = _judged(docs, items, window, id_column, text_column, item_id, item_text).where("contaminated").select(F.col("doc_id").alias("__id"), "__hash").distinct()
+    keyed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit(""))))
+    kept = keyed.join(bad, keyed[id_column].eqNullSafe(bad["__id"]) & (keyed["__text_hash"] == bad["__hash"]), "left_anti")
+    return kept.select(*docs.columns)
+
+
 def contamination_sql(window: int = WINDOW) -> str:
     """contamination in SQL: every window of a document against every window of an item of the same length."""
     words = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"

@@ -188,16 +188,14 @@ def _verify(texts: DataFrame, width: int, threshold: int) -> DataFrame:
     return texts.groupBy("cluster", "a", "b").applyInArrow(run, "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Columns doc_id, n_shingles, component_id (least doc_id of the group), kept (doc_id = component_id).
+def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    return docs.withColumn("key", F.xxhash64(F.col(id_column), text)).withColumn("text", text).withColumn("id", F.col(id_column))
 
-    Documents are linked if 100 * |A and B| >= threshold * |A or B| for their sets of shingles of width words; a group is a
-    connected component.  A null text, or one without words, has an empty set and is a group of its own.  Repeated rows are in
-    one group, and each of them is kept if it has the least doc_id.  Null ids count as greater than all others; a group of
-    nothing else has a null component_id and is kept.  An empty table gives no rows; other columns are ignored.
-    """
-    keyed = docs.select(F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), F.col(id_column).alias("id"))
-    keyed = keyed.withColumn("key", F.xxhash64("id", "text"))
+
+def _groups(docs: DataFrame, width: int, threshold: int, id_column: str, text_column: str) -> DataFrame:
+    """(id, key, n, component_id, first) of every document; first is the key of the document that stays in its group."""
+    keyed = _keyed(docs.select(F.col(id_column).alias("__i"), F.col(text_column).alias("__t")), "__i", "__t").select("id", "key", "text")
     every = cut(_describe(keyed, width))
     # Of each class the row with the least id stands for all; its key finds its text again.
     one = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key", "n", "sig", "bands")).alias("r")
@@ -216,14 +214,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, id_col
     paired = texts.select("*", other).select("text", "cluster", "fp", "sig", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
     links = cut(_verify(paired, width, threshold))
     groups = connected_components(links).select(F.col("vertex").alias("fp"), F.col("component").alias("group"))
-    grouped = classes.select("fp", "id").join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
-    least = grouped.groupBy("group").agg(F.min("id").alias("component_id"))
-    named = grouped.join(least, "group").select("fp", "component_id")
-    some = every.where("n > 0").select("id", "n", "fp").join(named, "fp").select("id", "n", "component_id")
-    out = some.union(every.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    grouped = classes.select("fp", "id", "key").join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
+    least = grouped.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("l"))
+    named = grouped.join(least, "group").select("fp", F.col("l.id").alias("component_id"), F.col("l.key").alias("first"))
+    some = every.where("n > 0").select("id", "key", "n", "fp").join(named, "fp").select("id", "key", "n", "component_id", "first")
+    return some.union(every.where("n = 0").select("id", "key", "n", F.col("id").alias("component_id"), F.col("key").alias("first")))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Columns doc_id, n_shingles, component_id (least doc_id of the group), kept (doc_id = component_id).
+
+    Documents are linked if 100 * |A and B| >= threshold * |A or B| for their sets of shingles of width words; a group is a
+    connected component.  A null text, or one without words, has an empty set and is a group of its own.  Repeated rows are in
+    one group, and each of them is kept if it has the least doc_id.  Null ids count as greater than all others; a group of
+    nothing else has a null component_id and is kept.  An empty table gives no rows; other columns are ignored.
+    """
+    out = _groups(docs, width, threshold, id_column, text_column)
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def deduplicate(docs: DataFrame, width: int = 5, threshold: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of docs for each group of near_duplicates, that of the least id, with all columns; rows without words all stay."""
+    groups = _groups(docs, width, threshold, id_column, text_column)
+    stay = groups.where("key = first").groupBy("key").agg(F.max(F.col("n") > 0).alias("__words"))
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    found = docs.withColumn("key", F.xxhash64(F.col(id_column), text)).join(stay, "key")
+    return found.where("__words").dropDuplicates(["key"]).union(found.where("NOT __words")).select(*docs.columns)
+
+
 def near_duplicates_sql(width: int = 4, threshold: int = 80) -> str:
     words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
     return f"""

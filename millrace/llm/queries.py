@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,14 +15,12 @@ def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _word_bpe() -> str:
-    import public_tokenizers
-
+def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.encode_documents(_read(spark, folder, "documents"), _word_bpe(), with_ids=False)
+    return bpe.encode_documents(_read(spark, folder, "documents"), word_bpe(), with_ids=False)
 
 
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,15 +56,21 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_token_planes(spark: SparkSession, folder: str) -> DataFrame:
-    return planes.plane_documents(_read(spark, folder, "documents"), _word_bpe())
+    return planes.plane_documents(_read(spark, folder, "documents"), word_bpe())
 
 
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(_read(spark, folder, "documents"))
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_decontamination, op4_suffix_dedup, op5_url_filters, op6_minhash, op7_language_id, op8_toxicity, op9_token_planes, op10_sharding)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_decontamination, op4_suffix_dedup, op5_url_filters, op6_minhash, op7_language_id, op8_toxicity, op9_token_planes, op10_sharding, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

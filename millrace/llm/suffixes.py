@@ -215,8 +215,8 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     return same.union(again).union(differing)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text", with_text: bool = True) -> DataFrame:
-    """Columns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, kept (what remains, as text).
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text", with_text: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, kept (what remains, as text); then those named in keep.
 
     A text is taken as its UTF-8 bytes, a null one as empty; shorter documents than length lose nothing.  All occurrences of a
     recurring string go, the first one too, and so do repeated rows.  A span may cut a character in two: kept then leaves its
@@ -225,10 +225,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_
     if not GRAM < length <= GRAM + 255:
         raise ValueError(f"length: from {GRAM + 1} to {GRAM + 255}")
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    keyed = docs.select(F.col(id_column).alias("id"), text.alias("text")).withColumn("key", F.xxhash64("id", "text"))
+    carried = [F.col(c).alias(f"__{i}") for i, c in enumerate(keep)]
+    keyed = docs.select(F.col(id_column).alias("id"), text.alias("text"), *carried).withColumn("key", F.xxhash64("id", "text"))
     spans = repeated_spans(keyed, length).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     joined = keyed.join(spans, "key", "left")
     kind = docs.schema[id_column].dataType.simpleString()
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +254,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_
                 rest = b"".join(memoryview(k) for k in kept)
                 for x, v in zip(out, (size, removed, count, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else None), strict=True):
                     x.append(v)
-            columns = [batch.column(1), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string())] + [pa.array(out[4], pa.string())] * with_text
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(columns)])
+            columns = [batch.column(1), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string())] + [pa.array(out[4], pa.string())] * with_text + batch.columns[3:]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.select("text", F.col("id").alias("doc_id"), "spans").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
+    extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return joined.select("text", F.col("id").alias("doc_id"), "spans", *[f"__{i}" for i in range(len(keep))]).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text + extra)
