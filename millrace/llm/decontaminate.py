@@ -25,16 +25,17 @@ BLOCK_PHRASES = 100_000
 BROADCAST_TERMS = 500_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def _fold(word: Column) -> Column:
-    return F.translate(word, _UPPER, _LOWER)
+def _fold(text: Column) -> Column:
+    """A-Z lower-cased and nothing else; lower() does just that, and faster, where all characters are ASCII."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
 def _raw_tokens(text: Column) -> Column:
-    """Words in their own case; an empty string stands first or last where the text begins or ends with separators."""
-    return F.split(F.coalesce(text.cast("string"), F.lit("")), _SEPARATORS)
+    """Words; an empty string stands first or last where the text begins or ends with separators, and alone in an empty text."""
+    return F.split(_fold(F.coalesce(text.cast("string"), F.lit(""))), _SEPARATORS)
 
 
 def _lead(tokens: Column) -> Column:
@@ -48,7 +49,7 @@ def _count(tokens: Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """A-Z lower-cased, then maximal runs of digits, a-z and everything beyond ASCII; none for null."""
-    return F.transform(F.filter(_raw_tokens(text), lambda w: w != ""), _fold)
+    return F.filter(_raw_tokens(text), lambda w: w != "")
 
 
 def phrases_of(items: DataFrame, window: int = WINDOW, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
@@ -60,8 +61,9 @@ def phrases_of(items: DataFrame, window: int = WINDOW, id_column: str = "item_id
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, text_column: str = "text") -> DataFrame:
-    """(term, n): how often each of terms.term occurs in all documents; terms compare in lower case."""
-    tokens = docs.select(F.explode(_raw_tokens(F.col(text_column))).alias("token")).select(F.lower("token").alias("term"))
+    """(term, n): how often each of terms.term occurs in all documents."""
+    # An outer explode differs from a plain one only in that the optimizer doesn't split texts twice to look for empty arrays.
+    tokens = docs.select(F.explode_outer(_raw_tokens(F.col(text_column))).alias("term"))
     if terms.count() <= BROADCAST_TERMS:
         return tokens.join(F.broadcast(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(terms, "term")
@@ -70,7 +72,7 @@ def term_counts(docs: DataFrame, terms: DataFrame, text_column: str = "text") ->
 def _anchored(phrases: DataFrame, docs: DataFrame, text_column: str) -> DataFrame:
     """Each distinct phrase with its two rarest terms and their offsets; phrases with a term that no document holds are gone."""
     distinct = phrases.select("phrase", "words").dropDuplicates(["phrase"])
-    each = distinct.select("phrase", F.posexplode("words").alias("off", "word")).select("phrase", "off", F.lower("word").alias("term"))
+    each = distinct.select("phrase", F.posexplode("words").alias("off", "word")).withColumnRenamed("word", "term")
     counts = term_counts(docs, each.select("term").distinct(), text_column)
     ranked = each.join(counts, "term", "left").groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "term"))).alias("r"))
     first, second = F.col("r")[0], F.col("r")[F.least(F.size("r") - 1, F.lit(1))]
@@ -78,14 +80,14 @@ def _anchored(phrases: DataFrame, docs: DataFrame, text_column: str) -> DataFram
 
 
 def postings(docs: DataFrame, text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The positional index: (keep..., tokens, lead, position, term) for every token, terms in lower case, positions from 0.
+    """The positional index: (keep..., tokens, lead, position, term) for every token, positions from 0.
 
-    tokens is the document's forward list, which shares the row with each posting without being copied; position + lead is
-    the posting's place in it.
+    tokens is the document's forward list; position + lead is the posting's place in it.  It isn't copied for each posting as
+    long as what follows stays in generated code, up to an operator that drops it or has filtered: use no lambda functions.
     """
     held = docs.select(*keep, _raw_tokens(F.col(text_column)).alias("tokens"))
-    every = held.select(*keep, "tokens", F.posexplode("tokens").alias("at", "token")).where("token <> ''")
-    return every.select(*keep, "tokens", _lead(F.col("tokens")).alias("lead"), (F.col("at") - _lead(F.col("tokens"))).alias("position"), F.lower("token").alias("term"))
+    every = held.select(*keep, "tokens", F.posexplode_outer("tokens").alias("at", "term")).where("term <> ''")
+    return every.select(*keep, "tokens", _lead(F.col("tokens")).alias("lead"), (F.col("at") - _lead(F.col("tokens"))).alias("position"), "term")
 
 
 def phrase_matches(docs: DataFrame, anchored: DataFrame, text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -99,9 +101,9 @@ def phrase_matches(docs: DataFrame, anchored: DataFrame, text_column: str = "tex
         start = F.col("position") - F.col("off")
         place = start + F.col("lead")
         length = F.size("words")
-        found = F.transform(F.slice("tokens", F.greatest(place, F.lit(0)) + 1, length), _fold)
+        found = F.slice("tokens", F.greatest(place, F.lit(0)) + 1, length)
         inside = (start >= 0) & (place + length <= F.size("tokens"))
-        second = F.lower(F.get(F.col("tokens"), place + F.col("off2"))) == F.col("term2")
+        second = F.get(F.col("tokens"), place + F.col("off2")) == F.col("term2")
         hits = hits.where(F.when(inside, F.when(second, found == F.col("words")).otherwise(False)).otherwise(False))
         hits = hits.select(*keep, "phrase", start.alias("start"), length.alias("length"))
         out = hits if out is None else out.union(hits)
