@@ -23,7 +23,7 @@ import hashlib
 import os
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -86,6 +86,16 @@ class Chunk:
     tail: str
 
 
+class _Words(dict):
+    """Learns a word on its first look-up."""
+
+    def __init__(self, learn: Callable[[str], bytes]) -> None:
+        self._learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        return self._learn(word)
+
+
 class Encoder:
     """Encodes as the tokenizers library does with the file at path, without added special tokens; decodes without a decoder.
 
@@ -96,7 +106,7 @@ class Encoder:
     def __init__(self, path: str, renders: tuple[str, ...] = ("ids",)) -> None:
         self.path = path
         self.renders = renders
-        self._words: list[dict[str, bytes]] = [{} for _ in renders]
+        self._words: list[dict[str, bytes]] = [_Words(self.learn), *({} for _ in renders[1:])]
         self._pieces: dict[str, list[int]] = {}
         self._chunks: dict[str, Chunk] = {}
         self.reused = self.scanned = 0
@@ -114,8 +124,8 @@ class Encoder:
         return t
 
     @cached_property
-    def _model(self):  # noqa: ANN202
-        return self.library.model
+    def _tokenize(self):  # noqa: ANN202
+        return self.library.model.tokenize
 
     @cached_property
     def _known_make(self) -> bool:
@@ -151,33 +161,29 @@ class Encoder:
         table = self._decimal if how == "decimal" else self._spelt
         return b"".join([table[i] + b" " for i in ids])
 
-    def _learn(self, words: list[str]) -> None:
-        """Have all of these words in the tables."""
-        first = self._words[0]
-        new = {w for w in words if w not in first}
-        if len(first) + len(new) > WORDS_KEPT:
-            for t in self._words:
-                t.clear()
-            new = set(words)
+    def learn(self, word: str) -> bytes:
+        """Put a word into all tables; its entry in the first."""
+        pieces, tokenize = self._pieces, self._tokenize
+        ids: list[int] = []
+        for piece in (word,) if word.isalpha() and (word.isascii() or max(word) < "\u0250") else _SPLITTER.findall(word):
+            known = pieces.get(piece)
+            if known is None:
+                known = pieces[piece] = [t.id for t in tokenize(piece if piece.isalnum() and piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LEVEL))]
+            ids += known
+        for table, how in zip(self._words, self.renders, strict=True):
+            table[word] = self._render(ids, how)
+        return self._words[0][word]
+
+    def _bound(self) -> None:
+        """Empty the tables that have grown full."""
+        if len(self._words[0]) > WORDS_KEPT:
+            for table in self._words:
+                table.clear()
         if len(self._pieces) > WORDS_KEPT // 2:
             self._pieces.clear()
-        tokenize, pieces = self._model.tokenize, self._pieces
-        for w in new:
-            ids: list[int] = []
-            for piece in _SPLITTER.findall(w):
-                known = pieces.get(piece)
-                if known is None:
-                    known = pieces[piece] = [t.id for t in tokenize(piece if piece.isalnum() and piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LEVEL))]
-                ids += known
-            for table, how in zip(self._words, self.renders, strict=True):
-                table[w] = self._render(ids, how)
 
     def _join(self, words: list[str]) -> tuple[bytes, ...]:
-        try:
-            return tuple([b"".join(map(t.__getitem__, words)) for t in self._words])
-        except KeyError:
-            self._learn(words)
-            return tuple([b"".join(map(t.__getitem__, words)) for t in self._words])
+        return tuple([b"".join(map(t.__getitem__, words)) for t in self._words])
 
     def _chunk(self, text: str, plain: bool) -> Chunk:
         got = self._chunks.get(text)
@@ -208,6 +214,7 @@ class Encoder:
         """The text's encoding in each of the renderings; a null text is an empty one."""
         if not text:
             return tuple(b"" for _ in self.renders)
+        self._bound()
         normal = self._normalized(text)
         if normal is None:
             ids = self.library.encode(text, add_special_tokens=False).ids
