@@ -21,18 +21,3 @@ def add_maps(a: Column, b: Column) -> Column:
 def sub_maps(a: Column, b: Column) -> Column:
     """Difference of two counter maps; a name whose difference is 0 stays."""
     return F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0)))
-
-
-def status(df: DataFrame, job: str, expected: str, state: str) -> DataFrame:
-    """Roll-up of shard rows (state: active, success, failed, aborted) by job: counts, and the final status.
-
-    While a shard is active: active, or failed if shard rows are missing.  Then an aborted shard makes the job aborted, else any
-    shard that isn't a success makes it failed.
-    """
-    n = lambda s: F.count_if(F.col(state) == s)
-    out = df.groupBy(job).agg(
-        F.count(F.lit(1)).alias("shards"), F.max(expected).alias("expected"), n("active").alias("active_shards"), n("failed").alias("failed_shards"), n("aborted").alias("aborted_shards"), n("success").alias("success_shards")
-    )
-    active = F.col("active_shards") > 0
-    final = F.when(active & (F.col("shards") != F.col("expected")), "failed").when(active, "active").when(F.col("aborted_shards") > 0, "aborted").when(F.col("success_shards") < F.col("shards"), "failed").otherwise("success")
-    return out.withColumn("status", final).drop("expected")

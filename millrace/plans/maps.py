@@ -68,7 +68,7 @@ def counters_skub(s: SparkSession, d: str) -> DataFrame:
 
 
 def counters_add_sub(s: SparkSession, d: str) -> DataFrame:
-    """Counters of the users below and from 50 on, added and subtracted by name."""
+    """Counters of users with even and with odd numbers, added and subtracted by name; the latter have no counter called view."""
     df = table(s, d, "events")
     as_map = lambda: F.map_from_entries(F.collect_list(F.struct("name", "value")))
     a = counters.by_name(df.where("user_id % 2 = 0"), F.col("event_type").alias("name")).agg(as_map().alias("a"))
@@ -90,12 +90,14 @@ def processed_per_shard(s: SparkSession, d: str) -> DataFrame:
 
 
 def _ops(s: SparkSession, d: str) -> DataFrame:
-    """Puts of every third customer, twice for every ninth, and deletes of every fourth; new keys too."""
+    """Every order puts its customer with the order's price as balance, customers of no account yet included; debtors are deleted.
+
+    Deletes come first by seq, an order's key is its put's.
+    """
     c = table(s, d, "customer")
-    put = lambda rows, seq, bonus: rows.select(F.lit("put").alias("op"), F.lit(seq).alias("seq"), "c_custkey", "c_name", "c_nationkey", (F.col("c_nationkey") * 0 + bonus).cast("double").alias("c_acctbal"), "c_mktsegment")
-    new = c.where("c_custkey % 100 = 0").withColumn("c_custkey", F.col("c_custkey") + 1_000_000)
-    gone = put(c.where("c_custkey % 4 = 0"), 0, 0).withColumn("op", F.lit("delete"))
-    return put(c.where("c_custkey % 3 = 0"), 1, 1).unionByName(put(c.where("c_custkey % 9 = 0"), 2, 2)).unionByName(put(new, 3, 3)).unionByName(gone)
+    o = table(s, d, "orders").select((F.col("o_custkey") * 2).alias("c_custkey"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("c_acctbal"), F.col("o_orderstatus").alias("c_mktsegment"))
+    puts = o.select(F.lit("put").alias("op"), "seq", "c_custkey", F.concat(F.lit("order "), F.col("seq").cast("string")).alias("c_name"), F.lit(0).alias("c_nationkey"), "c_acctbal", "c_mktsegment")
+    return puts.unionByName(c.where("c_acctbal < 0").select(F.lit("delete").alias("op"), F.lit(-1).cast("long").alias("seq"), *c.columns))
 
 
 def op_put(s: SparkSession, d: str) -> DataFrame:
@@ -128,20 +130,20 @@ def delete_all_in_range(s: SparkSession, d: str) -> DataFrame:
 
 
 def put_if_absent(s: SparkSession, d: str) -> DataFrame:
-    o = table(s, d, "orders").select("o_orderkey", "o_custkey")
-    return mutations.put_if_absent(o.where("o_orderkey < 2000"), o.where("o_orderkey % 5 = 0"), ["o_orderkey"])
+    """Keys that orders name and no customer has."""
+    named = table(s, d, "orders").select((F.col("o_custkey") * 2).alias("c_custkey")).distinct()
+    return mutations.put_if_absent(table(s, d, "customer"), named, ["c_custkey"])
 
 
 def multi_get(s: SparkSession, d: str) -> DataFrame:
-    wanted = table(s, d, "orders").where("o_orderkey < 500").select((F.col("o_custkey") * 2).alias("c_custkey")).distinct()
+    wanted = table(s, d, "orders").select((F.col("o_custkey") * 2).alias("c_custkey")).distinct()
     return mutations.multi_get(wanted, table(s, d, "customer").select("c_custkey", "c_name"), ["c_custkey"])
 
 
 QUERIES = {f.__name__: f for f in (map_lower, map_upper, flat_map_ops, mapper_lifecycle, counters_by_name, counters_by_group, counters_skub, counters_add_sub, job_counters, processed_per_shard, op_put, op_delete, op_put_delete, op_last_wins, pool_batches, delete_all_in_range, put_if_absent, multi_get)}
 
-_PUTS = """puts AS (SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 9 = 0 THEN 2.0 ELSE 1.0 END::DOUBLE AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 3 = 0
-    UNION ALL SELECT c_custkey + 1000000, c_name, c_nationkey, 3.0, c_mktsegment FROM customer WHERE c_custkey % 100 = 0),
-    dels AS (SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0),
+_PUTS = """puts AS (SELECT o_custkey * 2 AS c_custkey, 'order ' || CAST(max(o_orderkey) AS VARCHAR) AS c_name, 0 AS c_nationkey, arg_max(o_totalprice, o_orderkey) AS c_acctbal, arg_max(o_orderstatus, o_orderkey) AS c_mktsegment FROM orders GROUP BY 1),
+    dels AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0),
     put AS (SELECT * FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM puts) UNION ALL SELECT * FROM puts)"""
 
 ORACLE = {
@@ -162,6 +164,6 @@ ORACLE = {
     "op_last_wins": f"WITH {_PUTS} SELECT * FROM put WHERE c_custkey NOT IN (SELECT c_custkey FROM dels WHERE c_custkey NOT IN (SELECT c_custkey FROM puts))",
     "pool_batches": 'SELECT o_custkey, o_orderkey, (row_number() OVER w - 1) // 10 AS "before", (row_number() OVER w - 1) // 4 AS "after" FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)',
     "delete_all_in_range": "SELECT o_orderkey, o_custkey FROM orders WHERE NOT (o_orderkey >= 1000 AND o_orderkey < 5000)",
-    "put_if_absent": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey >= 2000",
-    "multi_get": "SELECT w.c_custkey, c.c_name FROM (SELECT DISTINCT o_custkey * 2 AS c_custkey FROM orders WHERE o_orderkey < 500) w LEFT JOIN customer c ON c.c_custkey = w.c_custkey",
+    "put_if_absent": "SELECT DISTINCT o_custkey * 2 AS c_custkey FROM orders WHERE o_custkey * 2 NOT IN (SELECT c_custkey FROM customer)",
+    "multi_get": "SELECT w.c_custkey, c.c_name FROM (SELECT DISTINCT o_custkey * 2 AS c_custkey FROM orders) w LEFT JOIN customer c ON c.c_custkey = w.c_custkey",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of millrace.plans; each has QUERIES and ORACLE.
-MODULES: tuple[str, ...] = ("reduce", "scan", "blob", "maps")
+MODULES: tuple[str, ...] = ("reduce", "scan", "blob", "maps", "keys", "jobs", "stream")
 
 
 def _collect(attribute: str) -> dict:
