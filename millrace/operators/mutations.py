@@ -69,20 +69,20 @@ class MutationPool:
         self.deletes: list = []
         self.held = self.flushes = 0
 
-    def _add(self, to: list, item: object, size: int) -> None:
+    def _add(self, kind: str, item: object, size: int) -> None:
         n = len(self.puts) + len(self.deletes)
         if n and (self.before and n >= self.count or (self.held + size > self.size if self.before else self.held + size >= self.size)):
             self.flush()
-        to.append(item)
+        getattr(self, kind).append(item)
         self.held += size
         if not self.before and len(self.puts) + len(self.deletes) >= self.count:
             self.flush()
 
     def put(self, item: object, size: int = 0) -> None:
-        self._add(self.puts, item, size)
+        self._add("puts", item, size)
 
     def delete(self, key: object, size: int = 0) -> None:
-        self._add(self.deletes, key, size)
+        self._add("deletes", key, size)
 
     def flush(self) -> None:
         if self.puts or self.deletes:

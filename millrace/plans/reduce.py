@@ -33,7 +33,8 @@ def reduce_sum(s: SparkSession, d: str) -> DataFrame:
 def reduce_multi_emit(s: SparkSession, d: str) -> DataFrame:
     """The three dearest orders of each customer: group limits are applied before the shuffle too."""
     best = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return table(s, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(best).alias("place")).where("place <= 3")
+    placed = table(s, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(best).alias("place")).where("place <= 3")
+    return placed.withColumn("place", F.col("place").cast("long"))
 
 
 def reduce_order_text(s: SparkSession, d: str) -> DataFrame:

@@ -82,7 +82,7 @@ def ds_key_desc(s: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     top = table(s, d, "orders").select("o_orderkey").orderBy(F.desc("o_orderkey")).limit(100)
-    return top.select("o_orderkey", F.row_number().over(Window.orderBy(F.desc("o_orderkey"))).alias("rank"))
+    return top.select("o_orderkey", F.row_number().over(Window.orderBy(F.desc("o_orderkey"))).cast("long").alias("rank"))
 
 
 def split_scatter(s: SparkSession, d: str) -> DataFrame:
@@ -104,7 +104,7 @@ _RANGES = [(0, 4, 2), (0, 3, 2), (0, 5, 5), (0, 5, 10), (0, 1, 3), (10, 1000, 7)
 
 def split_range(s: SparkSession, d: str) -> DataFrame:
     cases = s.createDataFrame(_RANGES, "range_start long, range_end long, shards int")
-    each = cases.select("*", F.explode(F.sequence(F.lit(0), F.col("shards"))).alias("i"))
+    each = cases.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards").cast("long"))).alias("i"))
     return each.withColumn("bound", splits.number_bounds(F.col("range_start"), F.col("range_end"), F.col("shards"), F.col("i")).cast("long"))
 
 
@@ -112,7 +112,7 @@ def split_bytes(s: SparkSession, d: str) -> DataFrame:
     """Four chunks of each document's bytes."""
     size = F.octet_length("text").cast("long")
     chunk = F.floor(F.col("size") / 4).cast("long")
-    each = table(s, d, "documents").select("doc_id", size.alias("size"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    each = table(s, d, "documents").select("doc_id", size.alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("i"))
     return each.select("doc_id", "i", (F.col("i") * chunk).alias("chunk_start"), F.when(F.col("i") == 3, F.col("size")).otherwise((F.col("i") + 1) * chunk).alias("chunk_end"))
 
 

@@ -90,9 +90,9 @@ def zip_files(blobs: DataFrame, key: str = "path", content: str = "content") ->
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 with zipfile.ZipFile(io.BytesIO(raw.as_py())) as z:
                     for i, info in enumerate(z.infolist()):
-                        yield pa.RecordBatch.from_pydict({"blob_key": [name], "file_index": pa.array([i], pa.int32()), "filename": [info.filename], "file_size": [info.file_size], "body": [z.read(info)]})
+                        yield pa.RecordBatch.from_pydict({"blob_key": [name], "file_index": pa.array([i], pa.int64()), "filename": [info.filename], "file_size": [info.file_size], "body": [z.read(info)]})
 
-    return blobs.select(F.col(key).cast("string"), content).mapInArrow(run, "blob_key string, file_index int, filename string, file_size long, body binary")
+    return blobs.select(F.col(key).cast("string"), content).mapInArrow(run, "blob_key string, file_index long, filename string, file_size long, body binary")
 
 
 def zip_lines(blobs: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
@@ -104,9 +104,9 @@ def zip_lines(blobs: DataFrame, key: str = "path", content: str = "content") ->
                 with zipfile.ZipFile(io.BytesIO(raw.as_py())) as z:
                     for i, info in enumerate(z.infolist()):
                         found = list(byte_records(z.read(info)))
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array([i] * len(found), pa.int32()), pa.array([o for o, _ in found], pa.int64()), pa.array([r.decode("utf-8", "replace") for _, r in found], pa.string())], ["blob_key", "file_index", "byte_offset", "line"])
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array([i] * len(found), pa.int64()), pa.array([o for o, _ in found], pa.int64()), pa.array([r.decode("utf-8", "replace") for _, r in found], pa.string())], ["blob_key", "file_index", "byte_offset", "line"])
 
-    return blobs.select(F.col(key).cast("string"), content).mapInArrow(run, "blob_key string, file_index int, byte_offset long, line string")
+    return blobs.select(F.col(key).cast("string"), content).mapInArrow(run, "blob_key string, file_index long, byte_offset long, line string")
 
 
 def validate(params: dict, exists=lambda key: True) -> list[str]:  # noqa: ANN001

@@ -35,7 +35,7 @@ class NumberRange(DataSource):
         return "millrace_range"
 
     def schema(self) -> str:
-        return "value long, shard int"
+        return "value long, shard long"
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
         return _Reader(self.options)
