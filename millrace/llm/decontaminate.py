@@ -168,9 +168,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs that aren't contaminated, with all columns."""
     bad = _judged(docs, items, window, id_column, text_column, item_id, item_text).where("contaminated").select(F.col("doc_id").alias("__id"), "__hash").distinct()
-    keyed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit(""))))
-    kept = keyed.join(bad, keyed[id_column].eqNullSafe(bad["__id"]) & (keyed["__text_hash"] == bad["__hash"]), "left_anti")
-    return kept.select(*docs.columns)
+    keyed = docs.select(F.col(id_column).alias("id"), F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit(""))).alias("hash"), F.struct("*").alias("row"))
+    kept = keyed.join(bad, keyed["id"].eqNullSafe(bad["__id"]) & (keyed["hash"] == bad["__hash"]), "left_anti")
+    return kept.select("row.*")
 
 
 def contamination_sql(window: int = WINDOW) -> str:

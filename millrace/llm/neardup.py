@@ -238,8 +238,8 @@ def deduplicate(docs: DataFrame, width: int = 5, threshold: int = 80, id_column:
     groups = _groups(docs, width, threshold, id_column, text_column)
     stay = groups.where("key = first").groupBy("key").agg(F.max(F.col("n") > 0).alias("__words"))
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    found = docs.withColumn("key", F.xxhash64(F.col(id_column), text)).join(stay, "key")
-    return found.where("__words").dropDuplicates(["key"]).union(found.where("NOT __words")).select(*docs.columns)
+    found = docs.select(F.xxhash64(F.col(id_column), text).alias("key"), F.struct("*").alias("row")).join(stay, "key")
+    return found.where("__words").dropDuplicates(["key"]).union(found.where("NOT __words")).select("row.*")
 
 
 def near_duplicates_sql(width: int = 4, threshold: int = 80) -> str:
