@@ -27,6 +27,9 @@ from ._text import LOWER, Block, blocks, prefix_hash, rows_of, span_hash, word_s
 TRAINING_ROWS = 20_000
 LEXICON_SIZE = 48
 CONTEXT_WORDS = 8
+#: Share of an entry's weight that each edit leaves to a spelling, and documents of training that outweigh this assumption.
+MISSPELT = 0.7
+ASSUMED = 5
 FEATURES = 6
 
 _WORD = np.zeros(256, bool)
@@ -241,6 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     chosen = counts.where((F.length("word") > 0) & (F.col("toxic") >= max(3, 0.01 * n_toxic)) & (odds >= 6)).orderBy(F.desc(odds * F.col("toxic")), "word").limit(LEXICON_SIZE).collect()
     lexicon = [bytes(r["word"]) for r in chosen]
     model = Toxicity(lexicon, Automaton.build(lexicon), np.ones((max(len(lexicon), 1), 3)), np.zeros(FEATURES + 1))
+    seen = np.zeros_like(model.weights)
     shared = spark.sparkContext.broadcast(model)
 
     def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,6 +257,10 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
     for r in texts.mapInArrow(occur, "entry int, distance int, y int").groupBy("entry", "distance").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).collect():
         model.weights[r["entry"], r["distance"]] = np.log((r["t"] + 0.5) / (n_toxic + 1)) - np.log((r["c"] + 0.5) / (n_clean + 1))
+        seen[r["entry"], r["distance"]] = r["t"] + r["c"]
+    # Spellings that training hardly shows weigh nearly as much as the entry itself.
+    assumed = model.weights[:, :1] * MISSPELT ** np.arange(3)
+    model.weights = (seen * model.weights + ASSUMED * assumed) / (seen + ASSUMED)
     weighted = spark.sparkContext.broadcast(model)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
