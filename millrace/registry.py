@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +16,23 @@ Query = Callable[[SparkSession, str], DataFrame]
 MODULES: tuple[str, ...] = ("reduce", "scan", "blob", "maps", "keys", "jobs", "stream")
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers of this session find the package where the driver has it (on a cluster: by --py-files, or installed)."""
+    root, known = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
+def shipped(query: Query) -> Query:
+    @functools.wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return query(spark, folder)
+
+    return run
+
+
 def _collect(attribute: str) -> dict:
     out: dict = {}
     for name in MODULES:
