@@ -52,7 +52,7 @@ def reduce_groups(df: DataFrame, keys: list[str], make: Callable[[], Reducer], s
     key receives one combined part from each.
     """
     columns = df.columns
-    arrow = _arrow(df, schema)
+    arrow = _arrow(schema)
 
     def names(key: tuple) -> tuple:
         return tuple(k.as_py() for k in key)
@@ -69,17 +69,16 @@ def reduce_groups(df: DataFrame, keys: list[str], make: Callable[[], Reducer], s
         return pa.Table.from_pylist(found, arrow) if found else arrow.empty_table()
 
     if combines:
-        salted = df.withColumn("__salt", F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int"))
+        salted = df.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
         df = salted.groupBy(*keys, "__salt").applyInArrow(combine, df.schema)
     return df.groupBy(*keys).applyInArrow(reduce, schema)
 
 
-def _arrow(df: DataFrame, schema: str) -> pa.Schema:
+def _arrow(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    kind = StructType.fromDDL(schema)
-    return to_arrow_schema(kind, timezone=df.sparkSession.conf.get("spark.sql.session.timeZone"))
+    return to_arrow_schema(StructType.fromDDL(schema))
 
 
 def key_range(df: DataFrame, key: str, shard: str) -> DataFrame:
