@@ -15,19 +15,19 @@ from millrace.sources.tables import table
 
 
 def blob_lines(s: SparkSession, d: str) -> DataFrame:
-    return blobs.record_offsets(table(s, d, "documents"), "doc_id", "text").withColumnRenamed("record", "line")
+    return blobs.record_offsets(table(s, d, "documents"), "text", "doc_id").withColumnRenamed("record", "line")
 
 
 def blob_lines_sharded(s: SparkSession, d: str) -> DataFrame:
     """Lines of each of four byte ranges of each document: a line belongs to the range it starts in, bounds to the earlier one."""
-    lines = blobs.record_offsets(table(s, d, "documents"), "doc_id", "text").select("doc_id", "offset")
-    sizes = table(s, d, "documents").select("doc_id", F.floor(F.octet_length("text") / 4).cast("long").alias("chunk"))
+    docs = table(s, d, "documents").select("doc_id", "text", F.floor(F.octet_length("text") / 4).cast("long").alias("chunk"))
+    lines = blobs.record_offsets(docs, "text", "doc_id", "chunk")
     shard = F.when((F.col("chunk") == 0) & (F.col("offset") > 0), 3).otherwise(F.least(F.lit(3), F.greatest(F.ceil(F.col("offset") / F.col("chunk")) - 1, F.lit(0))))
-    return lines.join(sizes, "doc_id").groupBy("doc_id", F.coalesce(shard, F.lit(0)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    return lines.groupBy("doc_id", F.coalesce(shard, F.lit(0)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def blob_records(s: SparkSession, d: str) -> DataFrame:
-    return blobs.record_offsets(table(s, d, "documents"), "doc_id", "text", ".")
+    return blobs.record_offsets(table(s, d, "documents"), "text", "doc_id", terminator=".")
 
 
 def blob_info(s: SparkSession, d: str) -> DataFrame:

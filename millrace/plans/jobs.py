@@ -13,8 +13,9 @@ from millrace.sources.tables import table
 def _shards(s: SparkSession, d: str) -> DataFrame:
     """Orders as shards: open ones active, finished ones successful, pending ones failed; every tenth job is to abort, every eleventh misses a shard."""
     state = F.when(F.col("o_orderstatus") == "O", status.ACTIVE).when(F.col("o_orderstatus") == "F", status.SUCCESS).otherwise(status.FAILED)
-    n = F.count(F.lit(1)).over(Window.partitionBy("o_custkey"))
-    return table(s, d, "orders").select(F.col("o_custkey").alias("job"), "o_orderkey", state.alias("state"), (n + F.when(F.col("o_custkey") % 11 == 0, 1).otherwise(0)).alias("expected"), (F.col("o_custkey") % 10 == 0).alias("abort"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("job"))
+    rows = table(s, d, "orders").select(F.col("o_custkey").alias("job"), "o_orderkey", state.alias("state"))
+    return rows.select("*", (n + F.when(F.col("job") % 11 == 0, 1).otherwise(0)).alias("expected"), (F.col("job") % 10 == 0).alias("abort"))
 
 
 def job_rollup(s: SparkSession, d: str) -> DataFrame:

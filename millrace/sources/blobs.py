@@ -6,40 +6,42 @@ import io
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_BLOBS = 246
 BLOB_KEYS = "blob_keys"
 
 
-def records(column: Column, terminator: str = "\n") -> Column:
-    """Array of (offset, record) of a text column: every record ended by terminator, and an unended last one.
+def record_offsets(df: DataFrame, text: str, *keep: str, terminator: str = "\n") -> DataFrame:
+    """(keep..., offset, record) of every record of every row's text: ended by terminator, or the unended last one.
 
-    Offsets are in UTF-8 bytes.  Blank records count, nothing follows a final terminator, and carriage returns stay.
+    Offsets are in UTF-8 bytes.  Blank records count, nothing follows a final terminator, carriage returns stay, a null text has
+    no records.  Rows are cut where they are, whole columns at a time: nothing is shuffled.
     """
-    parts = F.split(F.coalesce(column, F.lit("")), f"\\Q{terminator}\\E")
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    start = F.array().cast("array<struct<offset:bigint,record:string>>")
-    empty = F.struct(F.lit(0).cast("long").alias("at"), start.alias("out"))
+    width = len(terminator.encode())
 
-    def add(a: Column, r: Column) -> Column:
-        at = a["at"]
-        return F.struct((at + F.octet_length(r) + F.lit(len(terminator.encode()))).cast("long").alias("at"), F.concat(a["out"], F.array(F.struct(at.alias("offset"), r.alias("record")))).alias("out"))
-
-    return F.aggregate(parts, empty, add)["out"]
-
-
-def record_offsets(df: DataFrame, key: str, text: str, terminator: str = "\n") -> DataFrame:
-    """(key, offset, record), offsets by a prefix sum over the record lengths within the row."""
-    parts = F.split(F.coalesce(F.col(text), F.lit("")), f"\\Q{terminator}\\E")
-    each = df.select(key, F.octet_length(text).alias("__size"), F.posexplode(parts).alias("__n", "record"))
-    from pyspark.sql import Window
-
-    before = Window.partitionBy(key).orderBy("__n").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(F.octet_length("record") + len(terminator.encode())).over(before), F.lit(0)).cast("long")
-    return each.withColumn("offset", offset).where(F.col("offset") < F.col("__size")).select(key, "offset", "record")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = batch.column(0)
+            parts = pc.split_pattern(pc.fill_null(whole, ""), terminator)
+            first = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+            records = parts.flatten()
+            ends = np.cumsum(pc.binary_length(records).to_numpy(zero_copy_only=False).astype(np.int64) + width)
+            starts = np.r_[0, ends[:-1]] if len(ends) else ends
+            row = np.repeat(np.arange(batch.num_rows), np.diff(first))
+            offset = starts - (starts[first[:-1]] if len(ends) else starts)[row]
+            size = pc.binary_length(pc.fill_null(whole, "")).to_numpy(zero_copy_only=False)
+            real = np.flatnonzero(offset < size[row])
+            at = pa.array(row[real])
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[1:]), pa.array(offset[real]), records.take(pa.array(real)).cast(pa.string())], [*keep, "offset", "record"])
+
+    kept = df.select(*keep)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
+    return df.select(F.col(text).cast("string").alias("__text"), *keep).mapInArrow(run, f"{fields}offset long, record string")
 
 
 def byte_records(data: bytes, terminator: int = 0x0A, start: int = 0, end: int | None = None, leading: bool | None = None) -> Iterator[tuple[int, bytes]]:

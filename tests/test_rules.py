@@ -242,3 +242,10 @@ def test_handlers_do_nothing_by_default(spark):
     from millrace.operators.mapper import Mapper, run_mapper
 
     assert run_mapper(spark.range(10), Mapper, "id long").count() == 0
+
+
+def test_records_of_texts(spark):
+    rows = [(1, "foo\nbar\nfoobar"), (1, "é\n\nx\n"), (2, None), (3, ""), (4, "\n"), (5, "a\r\nb")]
+    got = blobs.record_offsets(spark.createDataFrame(rows, "k int, t string"), "t", "k").collect()
+    expected = [(k, o, r.decode()) for k, t in rows for o, r in blobs.byte_records((t or "").encode())]
+    assert sorted(map(tuple, got)) == sorted(expected)
