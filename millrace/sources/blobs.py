@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +72,20 @@ def blob_info(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
 
 
+def blob_query(spark: SparkSession, path: str, rest: str = "") -> DataFrame:
+    """SELECT * over blob_info, with what may follow FROM: WHERE, ORDER BY, LIMIT."""
+    return spark.sql(f"SELECT * FROM {{blobs}} {rest}", blobs=blob_info(spark, path))
+
+
+def open_blob(path: str, buffer: int = 131_072) -> io.BufferedReader:
+    """A file in any store as a buffered, seekable stream for reading."""
+    if "://" in path or path.startswith("file:"):
+        system, name = (fs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if path.startswith("file:") else fs.FileSystem.from_uri(path)
+    else:
+        system, name = fs.LocalFileSystem(), path
+    return io.BufferedReader(system.open_input_file(name), buffer)
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files without their newline; carriage returns stay."""
     return spark.read.option("lineSep", "\n").text(path)

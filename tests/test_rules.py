@@ -249,3 +249,38 @@ def test_records_of_texts(spark):
     got = blobs.record_offsets(spark.createDataFrame(rows, "k int, t string"), "t", "k").collect()
     expected = [(k, o, r.decode()) for k, t in rows for o, r in blobs.byte_records((t or "").encode())]
     assert sorted(map(tuple, got)) == sorted(expected)
+
+
+def test_archives_are_split(spark, tmp_path):
+    import zipfile
+
+    from millrace.sources.archives import read_archives
+
+    for b in range(2):
+        with zipfile.ZipFile(tmp_path / f"{b}.zip", "w") as z:
+            for i in range(3):
+                z.writestr(f"{i}.txt", "\n".join(f"archive {b} file {i} line {k}" for k in range(i + 1)))
+    paths = [str(tmp_path / f"{b}.zip") for b in range(2)]
+    lines = read_archives(spark, paths, "lines", 4)
+    assert lines.rdd.getNumPartitions() == 4
+    rows = sorted((r["blob_key"], r["file_index"], r["byte_offset"], r["line"]) for r in lines.collect())
+    assert len(rows) == 12 and rows[0] == (paths[0], 0, 0, "archive 0 file 0 line 0") and [r[2] for r in rows if r[1] == 2] == [0, 24, 48] * 2
+    rest = read_archives(spark, paths[:1], "lines", 1, first=2, offset=24).collect()
+    assert [(r["byte_offset"], r["line"]) for r in rest] == [(24, "archive 0 file 2 line 1"), (48, "archive 0 file 2 line 2")]
+    members = read_archives(spark, paths[:1], shards=2).collect()
+    assert sorted((r["filename"], r["file_size"], bytes(r["body"])[:9]) for r in members)[1] == ("1.txt", 47, b"archive 0")
+    assert blobs.blob_query(spark, str(tmp_path / "*.zip"), "ORDER BY path LIMIT 1").first()["path"].endswith("0.zip")
+    with blobs.open_blob(paths[0]) as f:
+        assert f.read(2) == b"PK" and f.seek(0) == 0 and f.tell() == 0
+
+
+def test_reader_parameters():
+    from millrace.sources.tables import validate
+
+    assert validate({"entity_kind": "k", "namespaces": "a,b"}) == {"entity_kind": "k", "namespaces": ["a", "b"], "batch_size": 50}
+    assert validate({"entity_kind": "k", "keys_only": True, "batch_size": "7"}, keys=True)["batch_size"] == 7
+    for bad in ({}, {"entity_kind": "k", "batch_size": 0}, {"entity_kind": "k", "batch_size": "x"}, {"entity_kind": "k", "namespaces": 5}, {"entity_kind": "k", "keys_only": True}):
+        with pytest.raises(ValueError):
+            validate(bad)
+    with pytest.raises(ValueError):
+        validate({"entity_kind": "k"}, known=lambda kind: False)
