@@ -13,7 +13,10 @@ the text from the first to the last string that has this anchor.
    whose comparisons find the common extension of two suffixes by binary search
    over prefix hashes, so that a comparison takes a logarithmic number of steps.
    Neighbours that agree for 200 bytes recur, once their bytes are compared too.
-4. A document's recurring strings are merged into runs of bytes and cut out.
+4. An anchor with very many different contexts, as where a common passage ends in
+   as many ways as there are documents, is never gathered: its strings are counted
+   by 128-bit hashes, which combines before the shuffle.
+5. A document's recurring strings are merged into runs of bytes and cut out.
 
 Texts are shuffled once, anchors (about one in 80 bytes) as fixed-length rows.
 Counting and marking combine before the shuffle or are joins that can be split, so
@@ -36,6 +39,8 @@ from ._text import Block, blocks, mix, prefix_hash, rows_of, span_hash, window_s
 LENGTH = 200
 GRAM = 40
 ANCHOR_BLOCK = 1 << 20
+#: Different contexts of an anchor that one task sorts at most, some 1.5 MB.
+MOST_CONTEXTS = 4096
 
 
 def anchors(block: Block, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
@@ -198,11 +203,40 @@ def _sorted_out(groups: DataFrame, length: int) -> DataFrame:
     return groups.mapInArrow(run, "key long, start long, end long")
 
 
+def _strings(contexts: DataFrame, length: int) -> DataFrame:
+    """(hash, s, t, key, start): each string of each context (hash, key, spot, bytes) with two hashes of its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                spots = part.column(2).to_numpy()
+                raw = part.column(3).cast(pa.large_binary()).to_pylist()
+                data = np.frombuffer(b"".join(raw), np.uint8)
+                n = (spots >> 8) & 255
+                row = np.repeat(np.arange(len(n)), n)
+                string = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                place = np.cumsum([0, *map(len, raw)])[:-1][row] + string
+                hashes = [span_hash(prefix_hash(d), place, place + length).view(np.int64) for d in (data, 255 - data)]
+                first, keys = (part.column(k).to_numpy()[row] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (first, *hashes, keys, (spots >> 16)[row] + string)], ["hash", "s", "t", "key", "start"])
+
+    return contexts.select("hash", "key", "spot", "bytes").mapInArrow(run, "hash long, s long, t long, key long, start long")
+
+
+def _counted_out(contexts: DataFrame, length: int) -> DataFrame:
+    """(key, start, end) of strings that stand in several contexts of their anchor, without gathering an anchor's contexts."""
+    strings = _strings(contexts, length)
+    several = cut(strings.groupBy("hash", "s", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    return strings.join(several, ["hash", "s", "t"]).select("key", "start", (F.col("start") + length).alias("end"))
+
+
 def repeated_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     """(key, start, end) byte spans of all strings of length bytes that start at another place too; keyed: key, text."""
     rows = _anchor_rows(keyed, length)
     counted = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("times"), (F.min("context") != F.max("context")).alias("mixed"))
-    found = cut(rows.join(counted.where("times > 1").drop("times"), "hash"))
+    # Written out, the counts are dealt anew for the join: only a join between two exchanges is split where an anchor is hot.
+    found = cut(rows.join(cut(counted.where("times > 1").drop("times")), "hash"))
     start, n = F.shiftright("spot", 16), F.shiftright("spot", 8).bitwiseAND(F.lit(255))
     whole = [start.alias("start"), (start + n - 1 + length).alias("end")]
     kinds = found.where("mixed").groupBy("hash", "context").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "spot")).alias("one"))
@@ -210,9 +244,11 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     same = found.where("NOT mixed").select("key", *whole)
     again = found.where("mixed").join(kinds.where("times > 1").select("hash", "context"), ["hash", "context"]).select("key", *whole)
     raw = F.substring(F.col("text").cast("binary"), (start + 1).cast("int"), (n - 1 + length).cast("int"))
-    texts = kinds.join(keyed.select("key", "text").dropDuplicates(["key"]), "key").select("hash", F.struct("key", "spot", "times", raw.alias("bytes")).alias("c"))
-    differing = _sorted_out(texts.groupBy("hash").agg(F.collect_list("c").alias("contexts")).select("contexts"), length)
-    return same.union(again).union(differing)
+    many = cut(kinds.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_CONTEXTS).select("hash", F.lit(True).alias("many")))
+    kinds = kinds.join(many, "hash", "left")
+    texts = cut(kinds.join(keyed.select("key", "text").dropDuplicates(["key"]), "key").select("hash", "key", "spot", "times", "many", raw.alias("bytes")))
+    few = texts.where("many IS NULL").groupBy("hash").agg(F.collect_list(F.struct("key", "spot", "times", "bytes")).alias("contexts"))
+    return same.union(again).union(_sorted_out(few.select("contexts"), length)).union(_counted_out(texts.where("many"), length))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text", with_text: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -364,3 +364,15 @@ def test_pipeline_stages(spark, nasty, empty, folder):
         assert stage(spark, empty, folder).count() == 0
     name, stage = corpus_pipeline.STAGES[-1]
     assert stage(spark, nasty, folder).count() == nasty.count() and stage(spark, empty, folder).count() == 0
+
+
+def test_anchors_with_many_contexts(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    word = lambda n: "".join(rng.choice([*"abcdefgh "], n))
+    shared = word(300)
+    docs = [word(int(rng.integers(0, 150))) + shared[int(rng.integers(0, 30)) :] + word(int(rng.integers(0, 150))) for _ in range(40)]
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    expected = sorted(((i, *r[:3], brute.sha(r[3])) for i, r in enumerate(brute.repeats(docs))), key=repr)
+    for most in (3, 4096):
+        monkeypatch.setattr(suffixes, "MOST_CONTEXTS", most)
+        assert rows(suffixes.remove_repeats(table), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
