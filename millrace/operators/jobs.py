@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from millrace.operators import operations
 from millrace.operators.mapper import resolve
-from millrace.operators.splits import SHARDS
 from millrace.operators.status import ABORTED, ACTIVE, FAILED, SUCCESS
 from millrace.sources.shared import materialise
 
@@ -35,7 +34,8 @@ class JobSpec:
     source: str
     params: dict = field(default_factory=dict)
     job_params: dict = field(default_factory=dict)
-    shards: int = SHARDS
+    #: Tasks to deal the rows over; by default the source's own partitions, without a shuffle.
+    shards: int | None = None
     rate: float = RATE
 
     def to_json(self) -> str:
@@ -61,7 +61,7 @@ class JobSpec:
         for key, values in (("mapper_params_validator", params), ("params_validator", job)):
             if form.get(key):
                 resolve(form[key])(values)
-        return cls(form["name"], form["mapper_handler"], form["mapper_input_reader"], params, job, int(params.get("shard_count", SHARDS)), float(params.get("processing_rate", RATE)))
+        return cls(form["name"], form["mapper_handler"], form["mapper_input_reader"], params, job, int(params["shard_count"]) if params.get("shard_count") else None, float(params.get("processing_rate", RATE)))
 
 
 class Hooks:
@@ -98,7 +98,7 @@ class Jobs:
         self._threads: dict[str, threading.Thread] = {}
 
     def validate(self, spec: JobSpec) -> None:
-        if spec.shards < 1:
+        if spec.shards is not None and spec.shards < 1:
             raise ValueError("shards: at least one")
         if spec.source not in self.sources:
             raise ValueError(f"no such source: {spec.source}")
@@ -135,7 +135,8 @@ class Jobs:
         return job_id
 
     def _work(self, state: JobState, rows: DataFrame) -> None:
-        done = materialise(operations.run_handler(rows.repartition(state.spec.shards), state.spec.handler))
+        rows = rows.repartition(state.spec.shards) if state.spec.shards else rows
+        done = materialise(operations.run_handler(rows, state.spec.handler))
         counts = done.where("op = 'increment'").groupBy("shard", "name").agg(F.sum("delta").alias("value"))
         per: dict[int, dict] = {}
         for r in counts.collect():  # one row for each shard and counter
@@ -174,7 +175,7 @@ class Jobs:
         at = next((i for i, j in enumerate(order) if j.job_id == cursor), len(order)) if cursor else 0
         page, more = order[at : at + count], order[at + count : at + count + 1]
         fields = [
-            {"job_id": j.job_id, "name": j.spec.name, "active": j.status == ACTIVE, "start_ms": int(j.started * 1000), "updated_ms": int(j.updated * 1000), "shards": j.spec.shards, "active_shards": j.spec.shards if j.status == ACTIVE else 0, "result_status": None if j.status == ACTIVE else j.status} for j in page
+            {"job_id": j.job_id, "name": j.spec.name, "active": j.status == ACTIVE, "start_ms": int(j.started * 1000), "updated_ms": int(j.updated * 1000), "shards": len(j.shards) or j.spec.shards, "active_shards": (j.spec.shards or 1) if j.status == ACTIVE else 0, "result_status": None if j.status == ACTIVE else j.status} for j in page
         ]
         return fields, more[0].job_id if more else None
 
