@@ -14,9 +14,12 @@ below the step, since no later value can be less.
 4. Within a cluster, full sets are compared, nearest signatures first, for pairs
    that union-find has not yet joined; the verified links' components are the groups.
 
-A cluster that is large, in documents or in shingles, is split into parts whose
-pairs are compared in tasks of their own, so that a task holds two parts at most
-whatever the cluster's size, and no pair is left out.
+A cluster that is large, in documents or in shingles, is dealt over parts, each of
+which also gets a few documents that all parts have in common.  Where that joins
+the whole cluster, as it does for copies of one text, the work is linear in it.
+Else the documents that a part doesn't join with the first of these, and they alone, are
+compared with all others of the cluster, part by part, so that a task holds two
+parts at most and no link is left out.
 """
 
 from __future__ import annotations
@@ -25,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import cut
-from ._text import blocks, mix, prefix_hash, rows_of, sort_by_document, span_hash, window_starts, word_spans
+from ._text import blocks, mix, prefix_hash, release, rows_of, sort_by_document, span_hash, tidied, window_starts, word_spans
 from .components import connected_components
 
 #: Registers and rows in a band: a pair at similarity 0.8 shares no band once in 300,000 times.
@@ -40,6 +43,8 @@ MARGIN = 0.19
 #: A part of a cluster in one task: documents and shingles.
 PART_DOCUMENTS = 2048
 PART_SHINGLES = 4_000_000
+#: Documents that all parts of a cluster have in common.
+HUBS = 16
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -140,22 +145,21 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(np.arange(0, block.n * bands + 1, bands, dtype=np.int32), pa.array(band.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([ids, keys, pa.array(count, pa.int64()), as_bytes(mark), as_bytes(short), lists], ["id", "key", "n", "fp", "sig", "bands"])
 
-    return docs.select("text", "id", "key").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, key long, n long, fp binary, sig binary, bands array<long>")
+    return docs.select("text", "id", "key").mapInArrow(tidied(run), f"id {docs.schema['id'].dataType.simpleString()}, key long, n long, fp binary, sig binary, bands array<long>")
 
 
-def _link(sets: list[np.ndarray], sig: np.ndarray, part: np.ndarray, threshold: int) -> list[tuple[int, int]]:
-    """A spanning set of the links among documents (between the two parts, if there are two)."""
+def _join(sets: list[np.ndarray], sig: np.ndarray, root: np.ndarray, side: np.ndarray, threshold: int) -> np.ndarray:
+    """root, numbers that tell what is joined already, after joining linked documents; if there are two sides, links across them only."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
-    root = np.arange(n)
-    links = []
-    across = part.min() != part.max() if n else False
+    root = root.copy()
+    across = side.min() != side.max() if n else False
     floor = (threshold / 100 - MARGIN) * sig.shape[1]
     for i in range(1, n):
-        fit = 100 * np.minimum(sizes[:i], sizes[i]) >= threshold * np.maximum(sizes[:i], sizes[i])
-        fit &= root[:i] != root[i]
+        fit = root[:i] != root[i]
+        fit &= 100 * np.minimum(sizes[:i], sizes[i]) >= threshold * np.maximum(sizes[:i], sizes[i])
         if across:
-            fit &= part[:i] != part[i]
+            fit &= side[:i] != side[i]
         near = np.flatnonzero(fit)
         agree = (sig[near] == sig[i]).sum(1)
         near = near[agree >= floor]
@@ -164,28 +168,72 @@ def _link(sets: list[np.ndarray], sig: np.ndarray, part: np.ndarray, threshold:
                 continue
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if 100 * both >= threshold * (sizes[i] + sizes[j] - both):
-                links.append((i, j))
                 root[root == root[j]] = root[i]
-    return links
+    return root
 
 
 def _verify(texts: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Verified links (u, v) of fingerprints within each group of texts (cluster, a, b)."""
+    """(u, v, hub) for each document u of each group of texts (cluster, a, b: text, fp, sig, root, side, hub).
+
+    v is the least document that verified links, and root, join with u; hub says whether a hub is among those.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        order = np.argsort(np.array(table.column("fp").to_pylist(), object), kind="stable")
-        table = table.take(pa.array(order))
+        fp = np.array(table.column("fp").to_pylist(), object)
+        order = np.argsort(fp, kind="stable")
+        table, fp = table.take(pa.array(order)), fp[order]
         sets: list[np.ndarray] = []
         for block in blocks(table.column("text")):
             x, offsets = shingle_sets(block, width)
             sets += [x[a:b].copy() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         sig = np.array([np.frombuffer(s, "<u2") for s in table.column("sig").to_pylist()]).reshape(len(sets), -1)
-        links = _link(sets, sig, table.column("part").to_numpy(), threshold)
-        fp = table.column("fp").to_pylist()
-        return pa.table({"u": pa.array([fp[i] for i, _ in links], pa.binary()), "v": pa.array([fp[j] for _, j in links], pa.binary())})
-
-    return texts.groupBy("cluster", "a", "b").applyInArrow(run, "u binary, v binary")
+        before = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
+        _, first, of = np.unique(_join(sets, sig, before, table.column("side").to_numpy(), threshold), return_index=True, return_inverse=True)
+        hub = np.zeros(len(first), bool)
+        np.logical_or.at(hub, of, table.column("hub").to_numpy(zero_copy_only=False))
+        del sets, sig
+        release()
+        # Documents are in ascending order, so that the first of a component is its least.
+        return pa.table({"u": pa.array(fp, pa.binary()), "v": pa.array(fp[first[of]], pa.binary()), "hub": pa.array(hub[of])})
+
+    return texts.groupBy("cluster", "a", "b").applyInArrow(run, "u binary, v binary, hub boolean")
+
+
+def _parts(members: DataFrame, name: str) -> DataFrame:
+    """members with the number of parts of each's cluster as name + "s", and the part as name."""
+    count = F.greatest(F.ceil(F.count(F.lit(1)) / PART_DOCUMENTS), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int")
+    counts = members.groupBy("cluster").agg(count.alias(f"{name}s"))
+    return members.join(counts, "cluster").withColumn(name, F.pmod(F.xxhash64("fp", F.lit(7)), F.col(f"{name}s")).cast("int"))
+
+
+def _links(members: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Verified links (u, v) that join what belongs together in each cluster of members (cluster, fp, key, n, sig); texts: key, text."""
+    members = cut(_parts(members, "part"))
+    columns, side, zero = ["key", "cluster", "fp", "sig"], F.lit(0).alias("side"), F.lit(0).alias("b")
+    with_text = lambda rows: texts.join(rows, "key").dropDuplicates(["key", "a", "b", "side"])
+    large = members.where("parts > 1")
+    first = Window.partitionBy("cluster").orderBy("fp")
+    hubs = large.withColumn("place", F.row_number().over(first)).where(F.col("place") <= HUBS)
+    hub = (F.col("parts") > 1) & (F.col("fp") == F.col("cluster"))
+    own = members.select(*columns, F.col("fp").alias("root"), F.col("part").alias("a"), zero, side, hub.alias("hub"))
+    shared = hubs.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("a")).where("a <> part")
+    shared = shared.select(*columns, F.col("fp").alias("root"), "a", zero, side, hub.alias("hub"))
+    found = cut(_verify(with_text(own.union(shared)), width, threshold))
+    links = found.where("u <> v").select("u", "v")
+    # What a part joins with the hub, the least document of a cluster, belongs together in all parts.
+    joined = found.groupBy("u").agg(F.max("hub").alias("hub"), F.min("v").alias("v"))
+    apart = F.when(F.col("hub"), F.col("cluster")).otherwise(F.col("v")).alias("root")
+    rooted = large.join(joined, F.col("fp") == F.col("u")).select("cluster", "fp", "key", "n", "sig", "part", "parts", "hub", apart)
+    rest = cut(_parts(rooted.where("NOT hub"), "rest"))
+    if rest.isEmpty():
+        return links
+    counts = rest.select("cluster", "rests").distinct()
+    no = F.lit(False).alias("hub")
+    one = rest.select(*columns, "root", F.col("rest").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("b"), side, no)
+    other = rooted.join(counts, "cluster").select(*columns, "root", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("a"), F.col("part").alias("b"), F.lit(1).alias("side"), no)
+    more = cut(_verify(with_text(one.union(other)), width, threshold))
+    return links.union(more.where("u <> v").select("u", "v"))
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -205,14 +253,8 @@ def _groups(docs: DataFrame, width: int, threshold: int, id_column: str, text_co
     buckets = banded.groupBy("band", "hash").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     candidates = banded.join(buckets, ["band", "hash"]).select("fp", "least").where("fp <> least").distinct()
     clusters = connected_components(candidates, "fp", "least").select(F.col("vertex").alias("fp"), F.col("component").alias("cluster"))
-    members = cut(classes.drop("bands").join(clusters, "fp"))
-    parts = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / PART_DOCUMENTS), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))
-    members = members.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int"))
-    texts = keyed.select("key", "text").join(members.select("key", "cluster", "fp", "sig", "part", "parts"), "key").dropDuplicates(["fp"])
-    # A part meets every part, itself included; a pair of parts is one group.
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    paired = texts.select("*", other).select("text", "cluster", "fp", "sig", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
-    links = cut(_verify(paired, width, threshold))
+    members = classes.drop("bands").join(clusters, "fp")
+    links = _links(members, keyed.select("key", "text"), width, threshold)
     groups = connected_components(links).select(F.col("vertex").alias("fp"), F.col("component").alias("group"))
     grouped = classes.select("fp", "id", "key").join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
     least = grouped.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("l"))
