@@ -33,14 +33,19 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._text import tidied
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks have 2**CHUNK_BITS bytes on average past the least length.
 CHUNK_BITS = 10
 CHUNK_LEAST = 256
-#: Entries that a worker keeps at most; a full table is emptied.
+#: Entries that a worker keeps at most. Words live in two generations: a full younger one takes the older one's place, and words that
+#: are met again move to the younger one. A full table of chunks keeps those that were met again.
 WORDS_KEPT = 600_000
-CHUNKS_KEPT = 25_000
+#: Bytes of texts that are cut in one go.
+BLOCK_BYTES = 1 << 20
+CHUNKS_KEPT = 8_000
 
 _GEAR = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 32, 256, dtype=np.uint32)
 #: The splitter that the fast path knows; none of its pieces holds white space.
@@ -56,23 +61,34 @@ _PLAIN = re.compile("[\x00-\x1b\x20-\u012f\u0131-\u024f]*\\Z")
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
-def cut_points(text: bytes, bits: int = CHUNK_BITS, least: int = CHUNK_LEAST) -> list[int]:
-    """Ends of the content-defined chunks of text, its own end last."""
-    n = len(text)
-    if n <= 2 * least:
-        return [n] if n else []
-    h = _GEAR[np.frombuffer(text, np.uint8)]
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(24)]
+
+
+def cut_block(texts: list[bytes], bits: int = CHUNK_BITS, least: int = CHUNK_LEAST) -> list[list[int]]:
+    """Ends of the content-defined chunks of each text, its own end last.
+
+    The hashes are those of the texts end to end, which are right wherever a cut may be: least bytes or more into a text.
+    """
+    h = _GEAR[np.frombuffer(b"".join(texts), np.uint8)]
     for k in (1, 2, 4, 8, 16):  # h becomes the sum of gear(byte) << age over the last 2 * k bytes
-        older = np.zeros_like(h)
-        older[k:] = h[:-k] << np.uint32(k)
-        h = h + older
+        h[k:] += h[:-k] << np.uint32(k)
     found = np.flatnonzero(h >> np.uint32(32 - bits) == 0) + 1
-    cuts, last = [], 0
-    for c in found.tolist():
-        if c - last >= least and n - c >= least:
-            cuts.append(c)
-            last = c
-    return [*cuts, n]
+    ends = np.cumsum([len(t) for t in texts])
+    bounds = np.searchsorted(found, np.r_[0, ends]).tolist()
+    found, out, start = found.tolist(), [], 0
+    for k, end in enumerate(ends.tolist()):
+        cuts, last = [], start
+        for c in found[bounds[k] : bounds[k + 1]]:
+            if c - last >= least and end - c >= least:
+                cuts.append(c - start)
+                last = c
+        out.append([*cuts, end - start] if end > start else [])
+        start = end
+    return out
+
+
+def cut_points(text: bytes) -> list[int]:
+    return cut_block([text])[0]
 
 
 @dataclass(frozen=True)
@@ -82,37 +98,40 @@ class Chunk:
     #: No white space in the chunk: head is all of it.
     solid: bool
     head: str
-    inner: tuple[bytes, ...]
+    inner: bytes
     tail: str
 
 
 class _Words(dict):
-    """Learns a word on its first look-up."""
+    """The younger generation of words; what it doesn't hold comes from the older one or is learned."""
 
-    def __init__(self, learn: Callable[[str], bytes]) -> None:
-        self._learn = learn
+    def __init__(self, learn: Callable[[str], bytes], older: dict[str, bytes]) -> None:
+        self._learn, self._older = learn, older
+
+    def forget(self) -> None:
+        """Let go of the generation before this one."""
+        self._older = {}
 
     def __missing__(self, word: str) -> bytes:
-        return self._learn(word)
+        self[word] = found = self._older.get(word) or self._learn(word)
+        return found
 
 
 class Encoder:
     """Encodes as the tokenizers library does with the file at path, without added special tokens; decodes without a decoder.
 
-    render makes what is kept of a word from its ids; by default the ids as little-endian unsigned 32-bit integers.  With
-    several renderings each document comes out in all of them.
+    Ids are kept and put together as little-endian unsigned 32-bit integers.
     """
 
-    def __init__(self, path: str, renders: tuple[str, ...] = ("ids",)) -> None:
+    def __init__(self, path: str) -> None:
         self.path = path
-        self.renders = renders
-        self._words: list[dict[str, bytes]] = [_Words(self.learn), *({} for _ in renders[1:])]
-        self._pieces: dict[str, list[int]] = {}
+        self._words: dict[str, bytes] = _Words(self.learn, {})
         self._chunks: dict[str, Chunk] = {}
+        self._again: set[str] = set()
         self.reused = self.scanned = 0
 
     def __reduce__(self) -> tuple:
-        return Encoder, (self.path, self.renders)
+        return Encoder, (self.path,)
 
     @cached_property
     def library(self):  # noqa: ANN201
@@ -154,112 +173,140 @@ class Encoder:
     def _spelt(self) -> list[bytes]:
         return [t.encode() for t in self.tokens]
 
-    def _render(self, ids: list[int], how: str) -> bytes:
-        """ids: packed integers; decimal, text: joined by spaces, each followed by one more space unless empty."""
-        if how == "ids":
-            return struct.pack(f"<{len(ids)}I", *ids)
-        table = self._decimal if how == "decimal" else self._spelt
-        return b"".join([table[i] + b" " for i in ids])
-
     def learn(self, word: str) -> bytes:
-        """Put a word into all tables; its entry in the first."""
-        pieces, tokenize = self._pieces, self._tokenize
-        ids: list[int] = []
-        for piece in (word,) if word.isalpha() and (word.isascii() or max(word) < "\u0250") else _SPLITTER.findall(word):
-            known = pieces.get(piece)
-            if known is None:
-                known = pieces[piece] = [t.id for t in tokenize(piece if piece.isalnum() and piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LEVEL))]
-            ids += known
-        for table, how in zip(self._words, self.renders, strict=True):
-            table[word] = self._render(ids, how)
-        return self._words[0][word]
+        """A word's ids, put together from those of its pieces, which are words themselves."""
+        if word.isascii():
+            if word.isalpha():
+                return self._packed(word)
+            if word[-1] in ".,;:!?" and word[:-1].isalpha():  # two pieces, the second of one sign
+                return self._words[word[:-1]] + self._words[word[-1]]
+        elif word.isalpha() and max(word) < "\u0250":
+            return self._packed(word.encode().decode("latin-1").translate(_BYTE_LEVEL))
+        pieces = _SPLITTER.findall(word)
+        if len(pieces) != 1:
+            return self._join(pieces)
+        return self._packed(word.encode().decode("latin-1").translate(_BYTE_LEVEL))
+
+    def _packed(self, piece: str) -> bytes:
+        ids = [t.id for t in self._tokenize(piece)]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
     def _bound(self) -> None:
-        """Empty the tables that have grown full."""
-        if len(self._words[0]) > WORDS_KEPT:
-            for table in self._words:
-                table.clear()
-        if len(self._pieces) > WORDS_KEPT // 2:
-            self._pieces.clear()
+        """Start a new generation of words when the younger one is full."""
+        if len(self._words) > WORDS_KEPT // 2:
+            older, self._words = self._words, _Words(self.learn, self._words)
+            older.forget()
 
-    def _join(self, words: list[str]) -> tuple[bytes, ...]:
-        return tuple([b"".join(map(t.__getitem__, words)) for t in self._words])
+    def _join(self, words: list[str]) -> bytes:
+        return b"".join(map(self._words.__getitem__, words))
 
     def _chunk(self, text: str, plain: bool) -> Chunk:
         got = self._chunks.get(text)
         if got is not None:
             self.reused += 1
+            self._again.add(text)
             return got
         if len(self._chunks) >= CHUNKS_KEPT:
-            self._chunks.clear()
-        # With marks at both ends, an end in white space shows as an empty head or tail.
-        words = (f"\ufdd0{text}\ufdd0".split() if plain else _SPACE.split(f"\ufdd0{text}\ufdd0"))
-        if len(words) == 1:
-            got = Chunk(True, text, tuple(b"" for _ in self.renders), "")
+            again = self._again if len(self._again) <= CHUNKS_KEPT // 2 else ()
+            self._chunks = {t: self._chunks[t] for t in again}
+            self._again = set()
+        if plain:
+            words, lead, trail = text.split(), text[0].isspace(), text[-1].isspace()
         else:
-            got = Chunk(False, words[0][1:], self._join(words[1:-1]), words[-1][:-1])
+            words, lead, trail = [w for w in _SPACE.split(text) if w], bool(_SPACE.match(text[0])), bool(_SPACE.match(text[-1]))
+        if len(words) == 1 and not lead and not trail:
+            got = Chunk(True, text, b"", "")
+        else:
+            inner = words[not lead : len(words) if trail else -1]
+            got = Chunk(False, words[0] if words and not lead else "", self._join(inner), words[-1] if words and not trail else "")
         self._chunks[text] = got
         self.scanned += 1
         return got
 
     def _normalized(self, text: str) -> tuple[str, bool] | None:
         """The normalized text and whether str.split() fits it; None if the library has to do all of it."""
-        if not self._known_make or any(x in text for x in self._specials) or "\ufdd0" in text:
+        if not self._known_make or any(x in text for x in self._specials):
             return None
         if _PLAIN.match(text):
             return text.lower(), True
         return self.library.normalizer.normalize_str(text), False
 
-    def encode_as(self, text: str | None) -> tuple[bytes, ...]:
-        """The text's encoding in each of the renderings; a null text is an empty one."""
-        if not text:
-            return tuple(b"" for _ in self.renders)
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids, four bytes each; a null text is an empty one."""
+        out: list[bytes] = [b""] * len(texts)
+        todo: list[tuple[int, str, bool, bytes]] = []
+        held = 0
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            normal = self._normalized(text)
+            if normal is None:
+                out[k] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                continue
+            raw = normal[0].encode()
+            todo.append((k, *normal, raw))
+            held += len(raw)
+            if held >= BLOCK_BYTES:
+                self._encode_block(todo, out)
+                todo, held = [], 0
+        self._encode_block(todo, out)
+        return out
+
+    def _encode_block(self, todo: list[tuple[int, str, bool, bytes]], out: list[bytes]) -> None:
         self._bound()
-        normal = self._normalized(text)
-        if normal is None:
-            ids = self.library.encode(text, add_special_tokens=False).ids
-            return tuple(self._render(ids, how) for how in self.renders)
-        text, plain = normal
-        raw = text.encode()
-        cuts = cut_points(raw)
-        if len(raw) != len(text):  # byte cuts to character cuts; a cut inside a character moves to its end
-            leads = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
-            cuts = sorted({int(leads[c - 1]) for c in cuts})
-        parts: list[list[bytes]] = [[] for _ in self.renders]
-        start, open_word = 0, ""
+        raws = [raw for *_, raw in todo]
+        for (k, text, plain, raw), cuts in zip(todo, cut_block(raws), strict=True):
+            if len(raw) != len(text) and len(cuts) > 1:  # byte cuts to character cuts; a cut inside a character moves to its end
+                leads = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+                cuts = sorted({int(leads[c - 1]) for c in cuts})
+            elif len(raw) != len(text):
+                cuts = [len(text)] if text else []
+            out[k] = self._encode_chunks(text, plain, cuts)
+
+    def _encode_chunks(self, text: str, plain: bool, cuts: list[int]) -> bytes:
+        parts: list[bytes] = []
+        start, open_word, words = 0, "", self._words
         for end in cuts:
             chunk = self._chunk(text[start:end], plain)
             start = end
             open_word += chunk.head
             if chunk.solid:  # no agreement yet: the word goes on
                 continue
-            for part, joined, inner in zip(parts, self._join([open_word] if open_word else []), chunk.inner, strict=True):
-                part.append(joined)
-                part.append(inner)
+            if open_word:
+                parts.append(words[open_word])
+            parts.append(chunk.inner)
             open_word = chunk.tail
-        for part, joined in zip(parts, self._join([open_word] if open_word else []), strict=True):
-            part.append(joined)
-        return tuple(b"".join(part) for part in parts)
+        if open_word:
+            parts.append(words[open_word])
+        return b"".join(parts)
+
+    def encode_packed(self, text: str | None) -> bytes:
+        return self.encode_batch([text])[0]
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(self.encode_as(text)[self.renders.index("ids")], "<u4")
+        return np.frombuffer(self.encode_packed(text), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library's decode with special tokens kept; unknown ids are skipped."""
+        ids = np.asarray(ids).tolist()
         if not self._known_make:
-            return self.library.decode(np.asarray(ids).tolist(), skip_special_tokens=False)
-        size, tokens = len(self.tokens), self.tokens
-        return " ".join([tokens[i] for i in np.asarray(ids).tolist() if i < size])
+            return self.library.decode(ids, skip_special_tokens=False)
+        spelt = self._spelt
+        return b" ".join([spelt[i] for i in ids if i < len(spelt)]).decode()
+
+    def decimal(self, ids: list[int]) -> bytes:
+        """Decimal ids joined by single spaces."""
+        return b" ".join(map(self._decimal.__getitem__, ids))
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str, renders: tuple[str, ...] = ("ids",)) -> Encoder:
+def encoder(path: str) -> Encoder:
     """This process's encoder for the file at path, with what it keeps from earlier tasks."""
-    if (path, renders) not in _ENCODERS:
-        _ENCODERS[path, renders] = Encoder(path, renders)
-    return _ENCODERS[path, renders]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = True) -> DataFrame:
@@ -270,24 +317,23 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_column: str = "doc_id",
     """
     kind = docs.schema[id_column].dataType.simpleString()
     extra = ", ids array<int>, decoded string" if with_ids else ""
-    renders = ("decimal", "text", "ids") if with_ids else ("decimal", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer, renders)
+        coder = encoder(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 n, shas, texts, lists, back = [], [], [], [], []
-                for text in part.column(0).to_pylist():
-                    decimal, spelt, *ids = coder.encode_as(text)
-                    # Every id is followed by one space, the last one's goes.
-                    n.append(decimal.count(b" "))
-                    shas.append(hashlib.sha256(decimal[:-1]).hexdigest())
-                    decoded = spelt[:-1] if coder._known_make else coder.decode(np.array(decimal.split(), np.int64)).encode()
-                    texts.append(hashlib.sha256(decoded).hexdigest())
+                for packed in coder.encode_batch(part.column(0).to_pylist()):
+                    packed = np.frombuffer(packed, "<u4")
+                    ids = packed.tolist()
+                    decoded = coder.decode(packed)
+                    n.append(len(ids))
+                    shas.append(hashlib.sha256(coder.decimal(ids)).hexdigest())
+                    texts.append(hashlib.sha256(decoded.encode()).hexdigest())
                     if with_ids:
-                        lists.append(np.frombuffer(ids[0], "<u4").astype(np.int32))
-                        back.append(decoded.decode())
+                        lists.append(packed.astype(np.int32))
+                        back.append(decoded)
                 columns = [part.column(1), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
@@ -296,4 +342,4 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_column: str = "doc_id",
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     source = docs.select(F.col(text_column).cast("string").alias("__text"), F.col(id_column).alias("doc_id"))
-    return source.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
+    return source.mapInArrow(tidied(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")

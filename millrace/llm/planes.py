@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import shared_dir
+from ._text import tidied
 from .bpe import encoder
 
 BLOCK_IDS = 1 << 16
@@ -181,12 +182,12 @@ def write_planes(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                for doc_id, text in zip(part.column(1).to_pylist(), part.column(0).to_pylist(), strict=True):
+                for doc_id, packed in zip(part.column(1).to_pylist(), coder.encode_batch(part.column(0).to_pylist()), strict=True):
                     if writer is None:
                         system.create_dir(base, recursive=True)
                         stream = system.open_output_stream(temporary)
                         writer = PlaneWriter(stream, planes)
-                    writer.add(doc_id, coder.encode_as(text)[0] + end)
+                    writer.add(doc_id, packed + end)
                     count += 1
         if writer is not None:
             writer.close()
@@ -196,7 +197,7 @@ def write_planes(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
 
     ordered = docs.select(F.col(text_column).cast("string").alias("__text"), F.col(id_column).cast("long").alias("__id"), F.xxhash64(text_column).alias("__tie"))
     ordered = ordered.repartitionByRange("__id", "__tie").sortWithinPartitions("__id", "__tie").drop("__tie")
-    files = ordered.mapInArrow(run, "part int, path string, docs long, ids long").collect()
+    files = ordered.mapInArrow(tidied(run), "part int, path string, docs long, ids long").collect()
     prefix = folder[: folder.index(":") + 1] if ":" in folder.split("/")[0] else ""
     return [(prefix + r["path"] if prefix == "file:" else r["path"], r["docs"], r["ids"]) for r in sorted(files, key=lambda r: r["part"])]
 
@@ -239,7 +240,7 @@ def read_planes(spark: SparkSession, files: list[tuple[str, int, int]], folder:
     schema = f"doc_id long, start long, n_tokens long, ids_crc32 long{extra}"
     if not rows:
         return spark.createDataFrame([], schema)
-    return spark.createDataFrame(rows, "path string, start long").repartition(len(rows), "path").mapInArrow(run, schema)
+    return spark.createDataFrame(rows, "path string, start long").repartition(len(rows), "path").mapInArrow(tidied(run), schema)
 
 
 def plane_documents(docs: DataFrame, tokenizer: str, planes: int = 4, end_id: int | None = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
