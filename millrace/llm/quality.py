@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import LOWER, Block, blocks, mix, prefix_hash, rows_of, sort_by_document, span_hash, window_starts, word_spans
+from ._text import Block, LOWER, blocks, mix, prefix_hash, rows_of, sort_by_document, span_hash, tidied, window_starts, word_spans
 
 COMMON_WORDS = sorted(
     set(
@@ -153,7 +153,7 @@ def references(docs: DataFrame, text_column: str = "text", lang_column: str = "l
 
     texts = docs.select(F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     total: dict[str, np.ndarray] = {}
-    for r in texts.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect():
+    for r in texts.mapInArrow(tidied(count), "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect():
         total.setdefault(r["lang"], np.zeros(width))[r["bin"]] = r["n"]
     share = lambda x: x / max(x.sum(), 1)
     return {lang: (share(x[:CLASSES]), share(x[CLASSES:])) for lang, x in sorted(total.items())}
@@ -187,7 +187,7 @@ def judge_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     kind = docs.schema[id_column].dataType.simpleString()
     return docs.select(F.col(text_column).cast("string").alias("__text"), F.col(id_column).alias("doc_id")).mapInArrow(
-        run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean, class_distance double, word_distance double"
+        tidied(run), f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean, class_distance double, word_distance double"
     )
 
 

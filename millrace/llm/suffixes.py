@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import cut
-from ._text import Block, blocks, mix, prefix_hash, rows_of, span_hash, window_starts
+from ._text import Block, blocks, mix, prefix_hash, rows_of, span_hash, tidied, window_starts
 
 LENGTH = 200
 GRAM = 40
@@ -176,7 +176,7 @@ def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
                 spot = (a["start"].astype(np.int64) << 16) | (a["n"].astype(np.int64) << 8) | a["off"].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(a["hash"].view(np.int64)), pa.array(a["context"].view(np.int64)), pa.array(keys[block.first + a["doc"]]), pa.array(spot)], ["hash", "context", "key", "spot"])
 
-    return keyed.select("text", "key").mapInArrow(run, "hash long, context long, key long, spot long")
+    return keyed.select("text", "key").mapInArrow(tidied(run), "hash long, context long, key long, spot long")
 
 
 def _sorted_out(groups: DataFrame, length: int) -> DataFrame:
@@ -200,7 +200,7 @@ def _sorted_out(groups: DataFrame, length: int) -> DataFrame:
                 todo, held = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["key", "start", "end"])
 
-    return groups.mapInArrow(run, "key long, start long, end long")
+    return groups.mapInArrow(tidied(run), "key long, start long, end long")
 
 
 def _strings(contexts: DataFrame, length: int) -> DataFrame:
@@ -221,7 +221,7 @@ def _strings(contexts: DataFrame, length: int) -> DataFrame:
                 first, keys = (part.column(k).to_numpy()[row] for k in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (first, *hashes, keys, (spots >> 16)[row] + string)], ["hash", "s", "t", "key", "start"])
 
-    return contexts.select("hash", "key", "spot", "bytes").mapInArrow(run, "hash long, s long, t long, key long, start long")
+    return contexts.select("hash", "key", "spot", "bytes").mapInArrow(tidied(run), "hash long, s long, t long, key long, start long")
 
 
 def _counted_out(contexts: DataFrame, length: int) -> DataFrame:
@@ -294,4 +294,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_
             yield pa.RecordBatch.from_arrays(columns, names)
 
     extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return joined.select("text", F.col("id").alias("doc_id"), "spans", *[f"__{i}" for i in range(len(keep))]).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text + extra)
+    return joined.select("text", F.col("id").alias("doc_id"), "spans", *[f"__{i}" for i in range(len(keep))]).mapInArrow(tidied(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text + extra)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import LOWER, Block, blocks, prefix_hash, rows_of, span_hash, word_spans
+from ._text import Block, LOWER, blocks, prefix_hash, rows_of, span_hash, tidied, word_spans
 
 #: Labelled documents that training reads at most, and lexicon entries kept at most.
 TRAINING_ROWS = 20_000
@@ -233,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         rows = [(b"", size[0], size[1]), *((w, *n) for w, n in seen.items())]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64()))], ["word", "clean", "toxic"])
 
-    counts = texts.mapInArrow(count, "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = texts.mapInArrow(tidied(count), "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     sizes = texts.agg(F.coalesce(F.sum(1 - F.col("__y")), F.lit(0)), F.coalesce(F.sum("__y"), F.lit(0))).first()
     n_clean, n_toxic = int(sizes[0]), int(sizes[1])
     empty = Automaton.build([])
@@ -255,7 +255,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
                 found = np.unique(np.stack([doc, entry, distance], 1), axis=0) if len(doc) else np.zeros((0, 3), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 1].astype(np.int32)), pa.array(found[:, 2].astype(np.int32)), pa.array(label[block.first + found[:, 0]].astype(np.int32))], ["entry", "distance", "y"])
 
-    for r in texts.mapInArrow(occur, "entry int, distance int, y int").groupBy("entry", "distance").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).collect():
+    for r in texts.mapInArrow(tidied(occur), "entry int, distance int, y int").groupBy("entry", "distance").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).collect():
         model.weights[r["entry"], r["distance"]] = np.log((r["t"] + 0.5) / (n_toxic + 1)) - np.log((r["c"] + 0.5) / (n_clean + 1))
         seen[r["entry"], r["distance"]] = r["t"] + r["c"]
     # Spellings that training hardly shows weigh nearly as much as the entry itself.
@@ -268,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
             x = np.concatenate([weighted.value.features(b) for b in blocks(batch.column(0))] or [np.zeros((0, FEATURES))])
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(x[:, k]) for k in range(FEATURES))], ["y", *(f"x{k}" for k in range(FEATURES))])
 
-    table = texts.mapInArrow(describe, "y int, " + ", ".join(f"x{k} double" for k in range(FEATURES))).toArrow()
+    table = texts.mapInArrow(tidied(describe), "y int, " + ", ".join(f"x{k} double" for k in range(FEATURES))).toArrow()
     x = np.stack([table.column(f"x{k}").to_numpy() for k in range(FEATURES)], 1)
     model.coefficients = _regression(x, table.column("y").to_numpy().astype(float))
     return model
@@ -288,4 +288,4 @@ def score_toxicity(docs: DataFrame, model: Toxicity, keep: list[str], text_colum
             score = shared.value.score(batch.column(0))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
 
-    return docs.select(F.col(text_column).cast("string").alias("__text"), *keep).mapInArrow(run, f"{fields}, score double, predicted int")
+    return docs.select(F.col(text_column).cast("string").alias("__text"), *keep).mapInArrow(tidied(run), f"{fields}, score double, predicted int")

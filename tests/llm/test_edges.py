@@ -170,9 +170,15 @@ def test_large_clusters_are_split(spark, monkeypatch):
         changed = list(words)
         changed[rng.integers(0, 200)] = f"x{rng.integers(0, 10**6)}"
         docs.append(" ".join(changed))
+    # A drifting chain, whose ends have nothing in common, and words of its own for every group.
+    for k in range(60):
+        docs.append(" ".join(f"c{x}" for x in range(6 * k, 6 * k + 200)))
     table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    groups = brute.near_duplicates(list(range(60)), docs, 4)
-    assert rows(neardup.near_duplicates(table, width=4), "doc_id", "n_shingles", "component_id") == sorted(((i, *g) for i, g in enumerate(groups)), key=repr)
+    groups = brute.near_duplicates(list(range(len(docs))), docs, 4)
+    expected = sorted(((i, *g) for i, g in enumerate(groups)), key=repr)
+    for hubs in (1, 16):
+        monkeypatch.setattr(neardup, "HUBS", hubs)
+        assert rows(neardup.near_duplicates(table, width=4), "doc_id", "n_shingles", "component_id") == expected
 
 
 def test_signatures_estimate_similarity():
