@@ -80,11 +80,23 @@ def release() -> None:
         pass
 
 
-def tidied(run: Callable) -> Callable:
-    """run, a function of Arrow batches, with a release when it is done."""
+#: What operators keep in this process from task to task, by name, and how to let go of it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def turn_to(name: str) -> None:
+    """Let go of what other operators than the named one keep: a worker goes from one operator to the next."""
+    for other, forget in KEPT.items():
+        if other != name:
+            forget()
+
+
+def tidied(run: Callable, keeps: str = "") -> Callable:
+    """run, a function of Arrow batches, with a release when it is done; keeps: its name in KEPT."""
 
     @functools.wraps(run)
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to(keeps)
         try:
             yield from run(found)
         finally:

@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import tidied
+from ._text import KEPT, tidied
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -300,6 +300,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+KEPT["encoder"] = _ENCODERS.clear
 
 
 def encoder(path: str) -> Encoder:
@@ -342,4 +343,4 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_column: str = "doc_id",
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     source = docs.select(F.col(text_column).cast("string").alias("__text"), F.col(id_column).alias("doc_id"))
-    return source.mapInArrow(tidied(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
+    return source.mapInArrow(tidied(run, "encoder"), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")

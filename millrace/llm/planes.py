@@ -197,7 +197,7 @@ def write_planes(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
 
     ordered = docs.select(F.col(text_column).cast("string").alias("__text"), F.col(id_column).cast("long").alias("__id"), F.xxhash64(text_column).alias("__tie"))
     ordered = ordered.repartitionByRange("__id", "__tie").sortWithinPartitions("__id", "__tie").drop("__tie")
-    files = ordered.mapInArrow(tidied(run), "part int, path string, docs long, ids long").collect()
+    files = ordered.mapInArrow(tidied(run, "encoder"), "part int, path string, docs long, ids long").collect()
     prefix = folder[: folder.index(":") + 1] if ":" in folder.split("/")[0] else ""
     return [(prefix + r["path"] if prefix == "file:" else r["path"], r["docs"], r["ids"]) for r in sorted(files, key=lambda r: r["part"])]
 
@@ -240,7 +240,7 @@ def read_planes(spark: SparkSession, files: list[tuple[str, int, int]], folder:
     schema = f"doc_id long, start long, n_tokens long, ids_crc32 long{extra}"
     if not rows:
         return spark.createDataFrame([], schema)
-    return spark.createDataFrame(rows, "path string, start long").repartition(len(rows), "path").mapInArrow(tidied(run), schema)
+    return spark.createDataFrame(rows, "path string, start long").repartition(len(rows), "path").mapInArrow(tidied(run, "encoder"), schema)
 
 
 def plane_documents(docs: DataFrame, tokenizer: str, planes: int = 4, end_id: int | None = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -382,3 +382,13 @@ def test_anchors_with_many_contexts(spark, monkeypatch):
     for most in (3, 4096):
         monkeypatch.setattr(suffixes, "MOST_CONTEXTS", most)
         assert rows(suffixes.remove_repeats(table), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
+
+
+def test_workers_forget_what_another_operator_keeps():
+    from millrace.llm import _text
+
+    first = bpe.encoder(WORD_BPE)
+    list(_text.tidied(lambda found: found, "encoder")(iter(())))
+    assert bpe.encoder(WORD_BPE) is first
+    list(_text.tidied(lambda found: found)(iter(())))
+    assert bpe.encoder(WORD_BPE) is not first
