@@ -64,10 +64,10 @@ def split_zip(s: SparkSession, d: str) -> DataFrame:
     def pack(t: pa.Table) -> pa.Table:
         t = t.sort_by("file_index")
         key, found = t.column("blob_key")[0].as_py(), splits.pack_members(t.column("file_size").to_pylist(), 4)
-        return pa.table({"blob_key": pa.array([key] * len(found), pa.string()), "shard": pa.array(range(len(found)), pa.int64()), "first_file": pa.array([a for a, _ in found], pa.int64()), "end_file": pa.array([b for _, b in found], pa.int64())})
+        return pa.table({"blob_key": pa.array([key] * len(found), pa.string()), "shard": pa.array(range(len(found)), pa.int64()), "first_file": pa.array([a for a, _ in found], pa.int32()), "end_file": pa.array([b for _, b in found], pa.int32())})
 
     members = blobs.zip_files(_archives(s, d), "blob_key").select("blob_key", "file_index", "file_size")
-    return members.groupBy("blob_key").applyInArrow(pack, "blob_key string, shard long, first_file long, end_file long")
+    return members.groupBy("blob_key").applyInArrow(pack, "blob_key string, shard long, first_file int, end_file int")
 
 
 def split_zip_lines(s: SparkSession, d: str) -> DataFrame:
@@ -86,9 +86,9 @@ def split_zip_lines(s: SparkSession, d: str) -> DataFrame:
                 first, held = i + 1, 0
         if held:
             out.append((first, len(sizes)))
-        return pa.table({"blob_key": pa.array([key] * len(out), pa.string()), "first_file": pa.array([a for a, _ in out], pa.int64()), "end_file": pa.array([b for _, b in out], pa.int64())})
+        return pa.table({"blob_key": pa.array([key] * len(out), pa.string()), "first_file": pa.array([a for a, _ in out], pa.int32()), "end_file": pa.array([b for _, b in out], pa.int32())})
 
-    return members.crossJoin(F.broadcast(total)).groupBy("blob_key").applyInArrow(pack, "blob_key string, first_file long, end_file long")
+    return members.crossJoin(F.broadcast(total)).groupBy("blob_key").applyInArrow(pack, "blob_key string, first_file int, end_file int")
 
 
 QUERIES = {f.__name__: f for f in (blob_lines, blob_lines_sharded, blob_records, blob_info, zip_files, zip_lines, split_zip, split_zip_lines)}
