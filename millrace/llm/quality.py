@@ -3,9 +3,13 @@
 Every document has two histograms: its code points by character class, and its
 words by common word (function words of several languages, and one bin for all
 others).  The reference of a language is the pair of histograms summed over all
-of its documents that pass the base rule.  A document is kept if, for some
-language, the Jensen-Shannon distances of both histograms to the reference stay
-within limits; texts too short for a stable histogram pass this test.
+of its documents that pass the base rule.  A document is kept if the
+Jensen-Shannon distances of both histograms to the nearest reference stay within
+limits; texts too short for a stable histogram pass this test.
+
+A language's limit for words depends on the length, as short texts lie farther from
+any reference by chance: it is half way from the median distance of the language's
+own documents of that length to the distance of a text without any common word.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import cut
 from ._text import Block, LOWER, blocks, mix, prefix_hash, rows_of, sort_by_document, span_hash, tidied, window_starts, word_spans
 
 COMMON_WORDS = sorted(
@@ -31,9 +36,14 @@ COMMON_WORDS = sorted(
     )
 )
 SHORTEST_WORDS = 50
-#: Jensen-Shannon distances (base 2, 0 to 1) above which a document is dropped.
+#: Jensen-Shannon distances (base 2, 0 to 1) above which a document is dropped; that of words where word_limits gives none below it.
 CLASS_LIMIT = 0.3
 WORD_LIMIT = 0.5
+#: Documents of a language and length that a median distance needs, and steps in which distances are counted for it.
+MEDIAN_OF = 20
+STEPS = 2000
+#: Common words that texts of a length hold on average, below which their absence says nothing.
+EXPECTED_COMMON = 8
 
 _CLASS = np.full(256, 5, np.uint8)  # other ASCII signs
 _CLASS[97:123] = 0
@@ -159,14 +169,41 @@ def references(docs: DataFrame, text_column: str = "text", lang_column: str = "l
     return {lang: (share(x[:CLASSES]), share(x[CLASSES:])) for lang, x in sorted(total.items())}
 
 
+def word_limits(reference: np.ndarray, counts: dict[int, np.ndarray], shortest_words: int = SHORTEST_WORDS) -> dict[int, float]:
+    """Limit of the word distance to a reference for texts of 2**k to 2**(k + 1) - 1 words, by k.
+
+    counts: by k, how many of the language's own documents are in each of STEPS steps of distance.  A length with too few
+    documents takes the median of the next shorter one that has enough, which is larger; without any, only texts as far off as
+    one without common words are beyond the limit.  Lengths at which common words may well be missing have no limit.
+    """
+    bare = np.zeros((1, len(reference)))
+    bare[0, -1] = 1
+    farthest = float(js_distance(bare, reference)[0])
+    # A median beyond this would leave texts without common words within the limit.
+    most = 0.998 * farthest
+    out, typical = {}, most
+    for k in range(63):
+        n = counts.get(k)
+        if n is not None and n.sum() >= MEDIAN_OF:
+            typical = (int(np.searchsorted(np.cumsum(n), n.sum() / 2)) + 0.5) / STEPS
+        if (1 - reference[-1]) * max(2**k, shortest_words) >= EXPECTED_COMMON:
+            out[k] = (min(typical, most) + farthest) / 2
+    return out
+
+
 def judge_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", shortest_words: int = SHORTEST_WORDS, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
     """Columns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance.
 
     The distances are those to the language nearest in their sum.  A null text counts as an empty one and fails the base rule.
     Without any labelled document there is no reference and the base rule alone decides.  A document of fewer than
-    shortest_words words is judged by the base rule alone.  Every row gives one row; other columns are ignored.
+    shortest_words words is judged by the base rule alone.  The limit of the word distance is that of word_limits for the nearest
+    language and the document's length, or word_limit if that is less or there is none.  Every row gives one row; other columns
+    are ignored.
     """
-    refs = docs.sparkSession.sparkContext.broadcast(list(references(docs, text_column, lang_column).values()))
+    found = references(docs, text_column, lang_column)
+    number = {lang: i for i, lang in enumerate(found)}
+    spark = docs.sparkSession
+    refs = spark.sparkContext.broadcast(list(found.values()))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,17 +214,32 @@ def judge_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 failed = base_failed(counts)
                 classes, common = histograms(block, starts, ends, words)
                 far = np.zeros((2, block.n))
+                near, own, step = np.zeros(block.n, np.int32), np.full(block.n, -1, np.int32), np.zeros(block.n, np.int32)
                 if refs.value:
                     each = np.stack([[js_distance(classes, c), js_distance(common, w)] for c, w in refs.value])
-                    far = each[each.sum(1).argmin(0), :, np.arange(block.n)].T
-                near = (far[0] <= class_limit) & (far[1] <= word_limit)
-                kept = ~failed & (near | (counts["n_words"] < shortest_words))
+                    near = each.sum(1).argmin(0).astype(np.int32)
+                    far = each[near, :, np.arange(block.n)].T
+                    own = np.array([number.get(x, -1) for x in batch.column(2).slice(block.first, block.n).to_pylist()], np.int32)
+                    own[failed | (counts["n_words"] < shortest_words)] = -1
+                    step = np.minimum(each[own, 1, np.arange(block.n)] * STEPS, STEPS - 1).astype(np.int32)
                 ids = batch.column(1).slice(block.first, block.n)
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(counts[n].astype(np.int64)) for n in names), pa.array(failed), pa.array(kept), pa.array(far[0]), pa.array(far[1])], ["doc_id", *names, "base_failed", "kept", "class_distance", "word_distance"])
+                length = (np.frexp(np.maximum(counts["n_words"], 1))[1] - 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(counts[n].astype(np.int64)) for n in names), *map(pa.array, (failed, far[0], far[1], near, length, own, step))], ["doc_id", *names, "base_failed", "class_distance", "word_distance", "near", "length", "own", "step"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(text_column).cast("string").alias("__text"), F.col(id_column).alias("doc_id")).mapInArrow(
-        tidied(run), f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean, class_distance double, word_distance double"
+    texts = docs.select(F.col(text_column).cast("string").alias("__text"), F.col(id_column).alias("doc_id"), F.col(lang_column).cast("string").alias("__lang"))
+    judged = texts.mapInArrow(
+        tidied(run), f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, class_distance double, word_distance double, near int, length int, own int, step int"
     )
-
-
+    limit = F.lit(word_limit)
+    if found:
+        judged = cut(judged)
+        counts: dict[int, dict[int, np.ndarray]] = {}
+        for r in judged.where("own >= 0").groupBy("own", "length", "step").agg(F.count(F.lit(1)).alias("n")).collect():
+            counts.setdefault(r["own"], {}).setdefault(r["length"], np.zeros(STEPS, np.int64))[r["step"]] = r["n"]
+        limits = [(i, k, x) for i, (_, w) in enumerate(found.values()) for k, x in word_limits(w, counts.get(i, {}), shortest_words).items()]
+        judged = judged.join(F.broadcast(spark.createDataFrame(limits, "near int, length int, word_limit double")), ["near", "length"], "left")
+        limit = F.least(F.lit(word_limit), F.col("word_limit"))  # least skips nulls
+    fits = (F.col("class_distance") <= class_limit) & (F.col("word_distance") <= limit)
+    kept = ~F.col("base_failed") & (fits | (F.col("n_words") < shortest_words))
+    return judged.select("doc_id", *names, "base_failed", kept.alias("kept"), "class_distance", "word_distance")

@@ -71,6 +71,23 @@ def test_quality(nasty, empty):
     assert nothing.where("kept = base_failed").count() == 0
 
 
+def test_quality_without_common_words(spark):
+    """Ordinary letters, but no function words: far from every language by words alone, whether or not medians are known."""
+    rng = np.random.default_rng(5)
+    nouns = [a + b + c for a in ("bra", "sto", "lin", "mer", "tov") for b in ("ka", "du", "re", "mi") for c in ("nt", "ss", "ld", "rk")]
+    function = ["the", "of", "and", "to", "in", "is", "was", "for"]
+    prose = lambda n: " ".join(str(rng.choice(function if rng.random() < 0.35 else nouns)) for _ in range(n))
+    menu = lambda n: " ".join(str(rng.choice(nouns)) for _ in range(n))
+    for some in (200, 10):
+        texts = [(k, prose(80 + k % 300), "en") for k in range(some)] + [(1000 + n, menu(n), lang) for n in (60, 150, 450) for lang in ("en", None)] + [(2000, menu(40), "en")]
+        out = {r["doc_id"]: r for r in quality.judge_quality(spark.createDataFrame(texts, "doc_id long, text string, lang string")).where("NOT base_failed").collect()}
+        assert len(out) >= some
+        for k, r in out.items():
+            assert r["class_distance"] < quality.CLASS_LIMIT
+            assert r["kept"] == (k < 1000 or k == 2000), (some, k, r)
+    assert quality.word_limits(np.array([0.001, 0.999]), {}).get(6) is None
+
+
 def test_jensen_shannon():
     p, q = np.array([[1.0, 0], [1, 1], [0, 0]]), np.array([0.0, 1.0])
     assert np.allclose(quality.js_distance(p, q), [1, np.sqrt(1 - (0.75 * np.log2(3) - 0.5) / 1 / 1 if False else 0.31127812445913283), 0])
