@@ -1,7 +1,7 @@
 """Toxicity scores from a misspelling-tolerant lexicon and the context of its hits.
 
 The lexicon is learned: words that occur in a far larger share of the toxic
-training documents than of the others.  Its trie is intersected with Levenshtein
+training documents than of the others, however many they are.  Its trie is intersected with Levenshtein
 automata (one edit for words of five to nine bytes, two for longer ones, none
 for shorter), and the product is determinised into one transition table over
 byte classes.  Scoring runs the table over all words of a block in step, one byte
@@ -13,6 +13,7 @@ verbs nearby) or plain use.  A logistic regression on these sums gives the score
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,9 +24,10 @@ from pyspark.sql import functions as F
 
 from ._text import Block, LOWER, blocks, prefix_hash, rows_of, span_hash, tidied, word_spans
 
-#: Labelled documents that training reads at most, and lexicon entries kept at most.
+#: Labelled documents that training reads at most.
 TRAINING_ROWS = 20_000
-LEXICON_SIZE = 48
+#: Lexicon entries in one automaton; a larger lexicon has several, since states grow faster than the entries they are for.
+AUTOMATON_ENTRIES = 256
 CONTEXT_WORDS = 8
 #: Share of an entry's weight that each edit leaves to a spelling, and documents of training that outweigh this assumption.
 MISSPELT = 0.7
@@ -102,8 +104,11 @@ class Automaton:
         order, table = [frozenset(), start], []
         for state in order:
             row = []
+            # Letters that no node of the state goes on with lead where class 0 leads.
+            known = {letter for node, _ in state for letter in children[node]}
+            other = follow(state, 0)
             for c in range(len(letters) + 1):
-                to = follow(state, c) if state else state
+                to = follow(state, c) if c in known else other
                 if to not in number:
                     number[to] = len(order)
                     order.append(to)
@@ -117,6 +122,14 @@ class Automaton:
         longest = max((len(w) + edits_allowed(w) for w in lexicon), default=0)
         return cls(classes, np.array(table, np.int32).reshape(len(order), -1), entry, distance, longest)
 
+    def __getstate__(self) -> dict:
+        # Most steps lead nowhere: packed, broadcasts are a small part of the table.
+        return {**self.__dict__, "step": (zlib.compress(self.step.tobytes(), 1), self.step.shape)}
+
+    def __setstate__(self, state: dict) -> None:
+        packed, shape = state["step"]
+        self.__dict__.update(state, step=np.frombuffer(zlib.decompress(packed), np.int32).reshape(shape))
+
     def match(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of the words within reach of an entry, that entry (the nearest, then the first), and the edit distance."""
         if not self.longest:
@@ -141,6 +154,32 @@ class Automaton:
         return words[order], self.entry[at[order]], self.distance[at[order]]
 
 
+@dataclass
+class Automata:
+    """The automata of a lexicon of any size."""
+
+    parts: list[Automaton]
+    first: list[int]  # entry of each part with which it begins
+
+    @classmethod
+    def build(cls, lexicon: list[bytes]) -> Automata:
+        first = list(range(0, max(len(lexicon), 1), AUTOMATON_ENTRIES))
+        return cls([Automaton.build(lexicon[k : k + AUTOMATON_ENTRIES]) for k in first], first)
+
+    def match(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As Automaton.match, over all parts."""
+        found = [part.match(data, starts, ends) for part in self.parts]
+        if len(found) == 1:
+            return found[0]
+        words, distance = (np.concatenate([f[k] for f in found]) for k in (0, 2))
+        entry = np.concatenate([f[1] + k for k, f in zip(self.first, found, strict=True)]).astype(np.int32)
+        order = np.lexsort((entry, distance, words))
+        words, entry, distance = words[order], entry[order], distance[order]
+        new = np.ones(len(words), bool)
+        new[1:] = words[1:] != words[:-1]
+        return words[new], entry[new], distance[new]
+
+
 def _hash_words(words: list[str]) -> np.ndarray:
     raw = [w.encode() for w in words]
     ends = np.cumsum([len(w) for w in raw])
@@ -150,7 +189,7 @@ def _hash_words(words: list[str]) -> np.ndarray:
 @dataclass
 class Toxicity:
     lexicon: list[bytes]
-    automaton: Automaton
+    automaton: Automata
     #: Log-odds of entry and edit distance, and the regression's weights with the intercept last.
     weights: np.ndarray
     coefficients: np.ndarray
@@ -236,14 +275,14 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     counts = texts.mapInArrow(tidied(count), "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     sizes = texts.agg(F.coalesce(F.sum(1 - F.col("__y")), F.lit(0)), F.coalesce(F.sum("__y"), F.lit(0))).first()
     n_clean, n_toxic = int(sizes[0]), int(sizes[1])
-    empty = Automaton.build([])
+    empty = Automata.build([])
     if not n_clean or not n_toxic:
         share = (n_toxic + 0.5) / (n_clean + n_toxic + 1)
         return Toxicity([], empty, np.zeros((0, 3)), np.array([0.0] * FEATURES + [np.log(share / (1 - share))]))
     odds = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
-    chosen = counts.where((F.length("word") > 0) & (F.col("toxic") >= max(3, 0.01 * n_toxic)) & (odds >= 6)).orderBy(F.desc(odds * F.col("toxic")), "word").limit(LEXICON_SIZE).collect()
-    lexicon = [bytes(r["word"]) for r in chosen]
-    model = Toxicity(lexicon, Automaton.build(lexicon), np.ones((max(len(lexicon), 1), 3)), np.zeros(FEATURES + 1))
+    chosen = counts.where((F.length("word") > 0) & (F.col("toxic") >= max(3, 0.01 * n_toxic)) & (odds >= 6)).select("word", (odds * F.col("toxic")).alias("rank")).collect()
+    lexicon = [w for _, w in sorted((-r["rank"], bytes(r["word"])) for r in chosen)]
+    model = Toxicity(lexicon, Automata.build(lexicon), np.ones((max(len(lexicon), 1), 3)), np.zeros(FEATURES + 1))
     seen = np.zeros_like(model.weights)
     shared = spark.sparkContext.broadcast(model)
 

@@ -256,6 +256,23 @@ def test_toxicity(spark, nasty, empty):
     assert toxicity.score_toxicity(nasty, toxicity.train(docs, labels.limit(0)), ["doc_id"]).where("score <> 0.5").count() == 0
 
 
+def test_toxicity_keeps_every_term(spark, monkeypatch):
+    """Terms far down the ranking are found too, in one automaton and in several."""
+    rng = np.random.default_rng(7)
+    terms = sorted({bytes(rng.integers(97, 123, 9).astype(np.uint8)).decode() for _ in range(70)})
+    clean = [f"number {k} had a nice and pleasant evening in the garden" for k in range(280)]
+    toxic = [f"number {k} is a {term} in the garden" for k in range(4) for term in terms]
+    docs = spark.createDataFrame(list(enumerate(clean + toxic)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k >= len(clean))) for k in range(len(clean) + len(toxic))], "doc_id long, toxic int")
+    asked = spark.createDataFrame([*enumerate(f"this one is a {term} in the garden" for term in terms), (1000, "this one had an evening in the garden")], "doc_id long, text string")
+    for entries in (256, 16):
+        monkeypatch.setattr(toxicity, "AUTOMATON_ENTRIES", entries)
+        model = toxicity.train(docs, labels)
+        assert {t.encode() for t in terms} <= set(model.lexicon)
+        assert len(model.automaton.parts) == -(-len(model.lexicon) // entries)
+        assert {r["doc_id"] for r in toxicity.score_toxicity(asked, model, ["doc_id"]).where("predicted = 1").collect()} == set(range(len(terms)))
+
+
 def test_automaton_is_levenshtein():
     lexicon = [b"idiot", b"worthless", b"disgusting", b"scum"]
     automaton = toxicity.Automaton.build(lexicon)
