@@ -2,7 +2,7 @@
 
 The lexicon is learned: words that occur in a far larger share of the toxic
 training documents than of the others, however many they are.  Its trie is intersected with Levenshtein
-automata (one edit for words of five to nine bytes, two for longer ones, none
+automata (one edit for words of four to nine bytes, two for longer ones, none
 for shorter), and the product is determinised into one transition table over
 byte classes.  Scoring runs the table over all words of a block in step, one byte
 position at a time; words that left the automaton drop out at once.  Each hit is
@@ -26,6 +26,8 @@ from ._text import Block, LOWER, blocks, prefix_hash, rows_of, span_hash, tidied
 
 #: Labelled documents that training reads at most.
 TRAINING_ROWS = 20_000
+#: Bytes of a lexicon entry at most.
+LONGEST_TERM = 24
 #: Lexicon entries in one automaton; a larger lexicon has several, since states grow faster than the entries they are for.
 AUTOMATON_ENTRIES = 256
 CONTEXT_WORDS = 8
@@ -44,7 +46,7 @@ _DEAD = 0
 
 
 def edits_allowed(word: bytes) -> int:
-    return 0 if len(word) < 5 else 1 if len(word) < 10 else 2
+    return 0 if len(word) < 4 else 1 if len(word) < 10 else 2
 
 
 @dataclass
@@ -267,7 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
                 for i in range(block.n):
                     y = label[block.first + i]
                     size[y] += 1
-                    for w in {low[s:e] for s, e in zip(starts[words[i] : words[i + 1]].tolist(), ends[words[i] : words[i + 1]].tolist(), strict=True) if 4 <= e - s <= 24}:
+                    for w in {low[s:e] for s, e in zip(starts[words[i] : words[i + 1]].tolist(), ends[words[i] : words[i + 1]].tolist(), strict=True) if e - s <= LONGEST_TERM}:
                         seen.setdefault(w, [0, 0])[y] += 1
         rows = [(b"", size[0], size[1]), *((w, *n) for w, n in seen.items())]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64()))], ["word", "clean", "toxic"])

@@ -2,6 +2,7 @@
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,6 +274,21 @@ def test_toxicity_keeps_every_term(spark, monkeypatch):
         assert {r["doc_id"] for r in toxicity.score_toxicity(asked, model, ["doc_id"]).where("predicted = 1").collect()} == set(range(len(terms)))
 
 
+def test_toxicity_of_short_terms(spark):
+    from millrace.llm._text import blocks
+
+    clean = [f"people said number {k} had a pleasant evening in the garden with some cake" for k in range(60)]
+    toxic = [f"number {k} is {('scum', 'oaf')[k % 2]} in the garden" for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(clean + toxic)), "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(k, int(k >= 60)) for k in range(100)], "doc_id long, toxic int"))
+    assert {b"scum", b"oaf"} <= set(model.lexicon)
+    block = next(blocks(pa.array(["scum", "scumm", "scm", "skum", "oaf", "oafs", "scmmu"])))
+    doc, entry, distance, _, _ = model.hits(block)
+    assert [(int(d), model.lexicon[e], int(x)) for d, e, x in zip(doc, entry, distance, strict=True) if model.lexicon[e] in (b"scum", b"oaf")] == [(0, b"scum", 0), (1, b"scum", 1), (2, b"scum", 1), (3, b"scum", 1), (4, b"oaf", 0)]
+    asked = spark.createDataFrame([(1, "this one had scumm in the garden"), (2, "this one had an oaf in the garden"), (3, "people had some cake in the garden")], "doc_id long, text string")
+    assert {r["doc_id"] for r in toxicity.score_toxicity(asked, model, ["doc_id"]).where("predicted = 1").collect()} == {1, 2}
+
+
 def test_automaton_is_levenshtein():
     lexicon = [b"idiot", b"worthless", b"disgusting", b"scum"]
     automaton = toxicity.Automaton.build(lexicon)
