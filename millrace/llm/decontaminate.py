@@ -119,16 +119,19 @@ def proximity_matches(docs: DataFrame, queries: DataFrame, span: int, id_column:
     asked = queries.select(F.col("query_id").cast("string").alias("item_id"), "text")
     whole = asked.select("item_id", F.array_distinct(words_of(F.col("text"))).alias("words")).where((F.size("words") > 0) & (F.size("words") <= span))
     anchored = _anchored(whole.select(F.col("item_id").alias("phrase"), "words"), docs, text_column).drop("term2", "off2", "off")
-    if anchored.count() > BLOCK_PHRASES:
-        raise ValueError(f"more than {BLOCK_PHRASES} queries; call with fewer at a time")
-    hits = postings(docs.withColumn("__id", F.col(id_column)), text_column, ("__id",)).join(F.broadcast(anchored), "term")
+    blocks = max(1, -(-anchored.count() // BLOCK_PHRASES))
     last = F.col("position")
     starts = F.sequence(F.greatest(last - span + 1, F.lit(0)), last)
     holds = lambda s: F.size(F.array_except("words", F.slice("near", s - F.col("first") + 1, span))) == 0
     first = F.greatest(last - span + 1, F.lit(0))
-    near = hits.select("__id", "phrase", "words", starts.alias("starts"), first.alias("first"), F.slice("tokens", first + F.col("lead") + 1, 2 * span).alias("near"))
-    rows = near.select(F.col("__id").alias("doc_id"), F.col("phrase").alias("query_id"), F.explode(F.filter("starts", holds)).alias("start"))
-    return rows.distinct()
+    out = None
+    for k in range(blocks):
+        part = anchored if blocks == 1 else anchored.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == k)
+        hits = postings(docs.withColumn("__id", F.col(id_column)), text_column, ("__id",)).join(F.broadcast(part), "term")
+        near = hits.select("__id", "phrase", "words", starts.alias("starts"), first.alias("first"), F.slice("tokens", first + F.col("lead") + 1, 2 * span).alias("near"))
+        rows = near.select(F.col("__id").alias("doc_id"), F.col("phrase").alias("query_id"), F.explode(F.filter("starts", holds)).alias("start"))
+        out = rows if out is None else out.union(rows)
+    return out.distinct()
 
 
 def _judged(docs: DataFrame, items: DataFrame, window: int, id_column: str, text_column: str, item_id: str, item_text: str) -> DataFrame:

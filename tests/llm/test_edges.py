@@ -121,6 +121,15 @@ def test_proximity(spark):
     assert got == brute_force
 
 
+def test_proximity_in_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "alpha x x beta y gamma"), (2, "beta alpha")], "doc_id long, text string")
+    asked = spark.createDataFrame([(f"q{k}", ("alpha beta", "gamma beta", "x y")[k % 3]) for k in range(9)], "query_id string, text string")
+    whole = rows(decontaminate.proximity_matches(docs, asked, 4), "doc_id", "query_id", "start")
+    assert len({q for _, q, _ in whole}) == 9
+    monkeypatch.setattr(decontaminate, "BLOCK_PHRASES", 2)
+    assert rows(decontaminate.proximity_matches(docs, asked, 4), "doc_id", "query_id", "start") == whole
+
+
 def test_suffixes(nasty, empty):
     out = suffixes.remove_repeats(nasty)
     expected = brute.repeats([t for _, t in texts(nasty)])
