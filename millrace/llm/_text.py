@@ -1,6 +1,6 @@
 """Vectorised byte-level text helpers shared by the corpus operators.
 
-Texts arrive in Arrow batches.  They are regrouped into blocks of a few MB of
+Texts arrive in Arrow batches.  They are regrouped into blocks of half a MB of
 UTF-8 bytes, so that memory per task is bounded by the block size plus one
 document, whatever the batch size is.  A null text counts as an empty one.
 """
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -48,24 +48,30 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of the polynomial base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of a polynomial base modulo 2**64, each the product of one of STEP low ones and one of the high ones: a longer text
+    makes the table longer by one entry for STEP bytes."""
 
-    def __init__(self) -> None:
-        self.up = np.ones(1, np.uint64)
-        self.down = np.ones(1, np.uint64)
+    STEP = 1 << 12
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) <= n:
-            size = 1 << int(n + 1).bit_length()
-            self.up = np.full(size, _BASE, np.uint64)
-            self.down = np.full(size, _INVERSE, np.uint64)
-            self.up[0] = self.down[0] = 1
-            np.cumprod(self.up, out=self.up)
-            np.cumprod(self.down, out=self.down)
-        return self.up, self.down
+    def __init__(self, base: int) -> None:
+        self.low = np.cumprod(np.r_[np.uint64(1), np.full(self.STEP - 1, base, np.uint64)])
+        self._step = pow(base, self.STEP, 1 << 64)
 
+    def _high(self, n: int) -> np.ndarray:
+        return np.cumprod(np.r_[np.uint64(1), np.full(n // self.STEP, self._step, np.uint64)])
 
-POWERS = Powers()
+    def first(self, n: int) -> np.ndarray:
+        """The powers 0 to n - 1."""
+        return np.multiply.outer(self._high(n), self.low).ravel()[:n]
+
+    def at(self, exponents: np.ndarray) -> np.ndarray:
+        high = self._high(int(exponents.max(initial=0)))
+        out = high[exponents >> 12]
+        out *= self.low[exponents & (self.STEP - 1)]
+        return out
+
+
+UP, DOWN = Powers(_BASE), Powers(_INVERSE)
 
 
 def release() -> None:
@@ -141,16 +147,20 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
 
 def prefix_hash(data: np.ndarray, lower: bool = False) -> np.ndarray:
     """S with S[j] - S[i] = sum of letter(k) * base**k for i <= k < j, modulo 2**64."""
-    up, _ = POWERS.upto(len(data))
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LETTER_LOWER if lower else _LETTER)[data] * up[: len(data)], out=out[1:])
+    letters = (_LETTER_LOWER if lower else _LETTER)[data]
+    letters *= UP.first(len(data))
+    np.cumsum(letters, out=out[1:])
     return out
 
 
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of data[start:end] for each span: equal bytes give equal hashes, wherever they stand."""
-    _, down = POWERS.upto(len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    h = prefix[ends]
+    h -= prefix[starts]
+    h *= DOWN.at(starts)
+    h += (ends - starts).astype(np.uint64)
+    return mix(h)
 
 
 def word_spans(block: Block, is_word: np.ndarray = _NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
