@@ -6,26 +6,32 @@ equal offsets, so a string can only recur where its anchor's 40 bytes recur, and
 strings are compared within the group of one anchor alone.  An anchor's context is
 the text from the first to the last string that has this anchor.
 
-1. Anchors are counted by hash; those that occur once drop out.
-2. Where all contexts of an anchor are equal, all their strings recur.
+1. Anchor rows are written once, with a 128-bit digest of the context (BLAKE2b),
+   and counted by hash; those that occur once drop out.
+2. Contexts with equal digests are equal: their strings recur.  No cheaper hash
+   decides this, so that neither chance nor a hostile text joins different bytes.
 3. For an anchor with different contexts, one of each kind is fetched, and the
    suffixes that start at equal offsets from the anchor are sorted: a merge sort
    whose comparisons find the common extension of two suffixes by binary search
    over prefix hashes, so that a comparison takes a logarithmic number of steps.
-   Neighbours that agree for 200 bytes recur, once their bytes are compared too.
-4. An anchor with very many different contexts, as where a common passage ends in
-   as many ways as there are documents, is never gathered: its strings are counted
-   by 128-bit hashes, which combines before the shuffle.
+   Neighbours that agree for 200 bytes recur, once their bytes are compared too;
+   where that shows a collision of hashes, the bytes alone decide.
+4. The different contexts of a hot anchor, as where a common passage ends in as
+   many ways as there are documents, are dealt over tasks.  Each sorts its share as
+   above; of the strings that it has, one of each kind goes on as a digest, and
+   digests that several shares have recur.
 5. A document's recurring strings are merged into runs of bytes and cut out.
 
-Texts are shuffled once, anchors (about one in 80 bytes) as fixed-length rows.
-Counting and marking combine before the shuffle or are joins that can be split, so
-a passage that a third of all documents share loads no single task.
+Anchors (about one in 80 bytes) are fixed-length rows.  Counting and marking combine
+before the shuffle or are joins that can be split, so a passage that a third of all
+documents share loads no single task.  Documents are told apart by 128 bits of their
+ids and texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,21 +39,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut
-from ._text import Block, blocks, mix, prefix_hash, rows_of, span_hash, tidied, window_starts
+from ._spark import Stored, cut, document_key
+from ._text import Block, blocks, prefix_hash, span_hash, tidied, window_starts
 
 LENGTH = 200
 GRAM = 40
-ANCHOR_BLOCK = 1 << 20
-#: Different contexts of an anchor that one task sorts at most, some 1.5 MB.
-MOST_CONTEXTS = 4096
+#: Different contexts of an anchor that are sorted together, some 1.5 MB; more are dealt over tasks.
+SHARE_CONTEXTS = 4096
+#: Bytes of contexts that a task sorts in one go, past the last group.
+SORT_BYTES = 1 << 19
+
+
+def digest(data: bytes) -> bytes:
+    """What stands for bytes that are too many to be brought together: no two different strings with equal digests are known."""
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def _halves(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
 
 
 def anchors(block: Block, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """doc, hash, context (its hash, with the anchor's offset), start (of the first string), n (strings) and off of each anchor."""
+    """doc, hash, context (two halves of its digest, with the anchor's offset), start (of the first string), n (strings) and off of each anchor."""
     starts, doc = window_starts(block.offsets, length)
     if not len(starts):
-        return {k: np.zeros(0, np.int64) for k in ("doc", "hash", "context", "start", "n", "off")}
+        return {k: np.zeros((0, 2) if k == "context" else 0, np.int64) for k in ("doc", "hash", "context", "start", "n", "off")}
     size = len(block.data)
     prefix = prefix_hash(block.data)
     at = np.arange(size - gram + 1)
@@ -67,9 +83,10 @@ def anchors(block: Block, length: int = LENGTH, gram: int = GRAM) -> dict[str, n
     first = np.flatnonzero(new)
     n = np.diff(np.r_[first, len(anchor)])
     start, place = starts[first], anchor[first]
-    context = span_hash(prefix, start, start + n - 1 + length) ^ mix((place - start).astype(np.uint64) + np.uint64(1))
+    raw = block.data.tobytes()
+    found = [digest(bytes((off,)) + raw[a:b]) for off, a, b in zip((place - start).tolist(), start.tolist(), (start + n - 1 + length).tolist(), strict=True)]
     d = doc[first]
-    return {"doc": d, "hash": hashes[place], "context": context, "start": start - block.offsets[d], "n": n, "off": place - start}
+    return {"doc": d, "hash": hashes[place].view(np.int64), "context": _halves(found), "start": start - block.offsets[d], "n": n, "off": place - start}
 
 
 def common_extension(prefix: np.ndarray, x: np.ndarray, y: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -150,12 +167,20 @@ def recurring(contexts: list[bytes], offs: np.ndarray, counts: np.ndarray, group
     if len(near):
         x, y = places[by[near]], places[by[near + 1]]
         near = near[common_extension(prefix, x, y, length) >= length]
+        wrong: list[np.ndarray] = []
         for at in range(0, len(near), 1 << 14):  # collision check: the bytes themselves
             part = near[at : at + (1 << 14)]
             x, y = places[by[part]][:, None], places[by[part + 1]][:, None]
             step = np.arange(length)
-            part = part[(data[x + step] == data[y + step]).all(1)]
+            right = (data[x + step] == data[y + step]).all(1)
+            wrong.append(of[by[part[~right]]])
+            part = part[right]
             twin[by[part]] = twin[by[part + 1]] = True
+        for g in np.unique(np.concatenate([np.zeros(0, np.int64), *wrong])).tolist():  # the order isn't to be trusted where hashes collide
+            at = np.flatnonzero(of == g)
+            strings = [data[p : p + length].tobytes() for p in places[at].tolist()]
+            times = Counter(strings)
+            twin[at] = [times[s] > 1 for s in strings]
     out = [np.zeros(c, bool) for c in counts.tolist()]
     for o, s in zip(owner[twin].tolist(), string[twin].tolist(), strict=True):
         out[o][s] = True
@@ -168,87 +193,92 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(1).to_numpy()
-            for block in blocks(batch.column(0), ANCHOR_BLOCK):
-                a = anchors(block, length)
-                spot = (a["start"].astype(np.int64) << 16) | (a["n"].astype(np.int64) << 8) | a["off"].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(a["hash"].view(np.int64)), pa.array(a["context"].view(np.int64)), pa.array(keys[block.first + a["doc"]]), pa.array(spot)], ["hash", "context", "key", "spot"])
-
-    return keyed.select("text", "key").mapInArrow(tidied(run), "hash long, context long, key long, spot long")
-
-
-def _sorted_out(groups: DataFrame, length: int) -> DataFrame:
-    """(key, start, end) of recurring strings in contexts that differ within their anchor's group."""
+    """(hash, c1, c2, k1, k2, spot) of all anchors; spot: start, n and off of anchors() in one number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(0).to_pylist()
-            todo: list[list[dict]] = []
-            held = 0
-            for k, contexts in enumerate(rows):
-                todo.append(contexts)
-                held += sum(len(c["bytes"]) for c in contexts)
-                if held < 1 << 20 and k + 1 < len(rows):
-                    continue
-                flat = [c for g in todo for c in g]
-                n = np.array([c["spot"] >> 8 & 255 for c in flat])
-                off = np.array([c["spot"] & 255 for c in flat])
-                group = np.repeat(np.arange(len(todo)), [len(g) for g in todo])
-                out = [(c["key"], (c["spot"] >> 16) + a, (c["spot"] >> 16) + b - 1 + length) for c, f in zip(flat, recurring([c["bytes"] for c in flat], off, n, group, length), strict=True) if c["times"] == 1 for a, b in _runs(f)]
-                todo, held = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["key", "start", "end"])
-
-    return groups.mapInArrow(tidied(run), "key long, start long, end long")
-
-
-def _strings(contexts: DataFrame, length: int) -> DataFrame:
-    """(hash, s, t, key, start): each string of each context (hash, key, spot, bytes) with two hashes of its bytes."""
+            keys = [batch.column(k).to_numpy() for k in (1, 2)]
+            for block in blocks(batch.column(0)):
+                a = anchors(block, length)
+                spot = (a["start"] << 16) | (a["n"] << 8) | a["off"]
+                columns = [a["hash"], *a["context"].T, *(k[block.first + a["doc"]] for k in keys), spot]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["hash", "c1", "c2", "k1", "k2", "spot"])
+
+    return keyed.select("text", "k1", "k2").mapInArrow(tidied(run), "hash long, c1 long, c2 long, k1 long, k2 long, spot long")
+
+
+def _sort_groups(rows: list[tuple], length: int) -> pa.RecordBatch:
+    """Rows of _sorted_out for whole groups; rows: (hash, share, shares, c1, c2, k1, k2, spot, times, bytes) by hash, share, c1, c2."""
+    # A document in the table twice gives its contexts twice.
+    flat = [r for before, r in zip([None, *rows], rows, strict=False) if before is None or (r[0], *r[3:5]) != (before[0], *before[3:5])]
+    spots = np.array([r[7] for r in flat])
+    group = np.cumsum([k > 0 and r[:2] != flat[k - 1][:2] for k, r in enumerate(flat)])
+    flags = recurring([r[9] for r in flat], spots & 255, spots >> 8 & 255, group, length)
+    out: list[tuple] = []
+    for (hash_, share, shares, _, _, k1, k2, spot, times, raw), twin in zip(flat, flags, strict=True):
+        start = spot >> 16
+        if times == 1:
+            out += [(k1, k2, start + a, start + b - 1 + length, None, None, None, None) for a, b in _runs(twin)]
+        if shares > 1:
+            halves = _halves([digest(raw[i : i + length]) for i in range(len(twin))]).tolist()
+            out += [(k1, k2, None if times > 1 or twin[i] else start + i, start + i + length, hash_, share, *h) for i, h in enumerate(halves)]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(8)], ["k1", "k2", "start", "end", "hash", "share", "d1", "d2"])
+
+
+def _sorted_out(contexts: DataFrame, length: int) -> DataFrame:
+    """(k1, k2, start, end) of strings that recur within their group, the anchor (hash) and share.
+
+    Rows with a hash are strings of anchors with several shares, for the comparison across these: d1 and d2 are their digests;
+    start is null where it is known already that the string recurs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        todo: list[tuple] = []
+        held = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                spots = part.column(2).to_numpy()
-                raw = part.column(3).cast(pa.large_binary()).to_pylist()
-                data = np.frombuffer(b"".join(raw), np.uint8)
-                n = (spots >> 8) & 255
-                row = np.repeat(np.arange(len(n)), n)
-                string = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                place = np.cumsum([0, *map(len, raw)])[:-1][row] + string
-                hashes = [span_hash(prefix_hash(d), place, place + length).view(np.int64) for d in (data, 255 - data)]
-                first, keys = (part.column(k).to_numpy()[row] for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (first, *hashes, keys, (spots >> 16)[row] + string)], ["hash", "s", "t", "key", "start"])
+            for at in range(0, batch.num_rows, 1024):
+                for row in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns), strict=True):
+                    if held >= SORT_BYTES and row[:2] != todo[-1][:2]:
+                        yield _sort_groups(todo, length)
+                        todo, held = [], 0
+                    todo.append(row)
+                    held += len(row[9])
+        if todo:
+            yield _sort_groups(todo, length)
 
-    return contexts.select("hash", "key", "spot", "bytes").mapInArrow(tidied(run), "hash long, s long, t long, key long, start long")
+    dealt = contexts.repartition("hash", "share").sortWithinPartitions("hash", "share", "c1", "c2").select("hash", "share", "shares", "c1", "c2", "k1", "k2", "spot", "times", "bytes")
+    return dealt.mapInArrow(tidied(run), "k1 long, k2 long, start long, end long, hash long, share long, d1 long, d2 long")
 
 
-def _counted_out(contexts: DataFrame, length: int) -> DataFrame:
-    """(key, start, end) of strings that stand in several contexts of their anchor, without gathering an anchor's contexts."""
-    strings = _strings(contexts, length)
-    several = cut(strings.groupBy("hash", "s", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    return strings.join(several, ["hash", "s", "t"]).select("key", "start", (F.col("start") + length).alias("end"))
+def _across(strings: DataFrame, length: int) -> DataFrame:
+    """(k1, k2, start, end) of strings that recur in another share of their anchor only."""
+    several = cut(strings.groupBy("hash", "d1", "d2").agg((F.min("share") < F.max("share")).alias("several")).where("several").drop("several"))
+    return strings.where("start IS NOT NULL").join(several, ["hash", "d1", "d2"]).select("k1", "k2", "start", "end")
 
 
 def repeated_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, start, end) byte spans of all strings of length bytes that start at another place too; keyed: key, text."""
-    rows = _anchor_rows(keyed, length)
-    counted = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("times"), (F.min("context") != F.max("context")).alias("mixed"))
+    """(k1, k2, start, end) byte spans of all strings of length bytes that start at another place too; keyed: k1, k2, text."""
+    stored = Stored(_anchor_rows(keyed, length))
+    rows = stored.rows
+    mixed = (F.min("c1") < F.max("c1")) | (F.min("c2") < F.max("c2"))
+    counted = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("times"), mixed.alias("mixed"))
     # Written out, the counts are dealt anew for the join: only a join between two exchanges is split where an anchor is hot.
     found = cut(rows.join(cut(counted.where("times > 1").drop("times")), "hash"))
+    stored.drop()
     start, n = F.shiftright("spot", 16), F.shiftright("spot", 8).bitwiseAND(F.lit(255))
-    whole = [start.alias("start"), (start + n - 1 + length).alias("end")]
-    kinds = found.where("mixed").groupBy("hash", "context").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "spot")).alias("one"))
-    kinds = cut(kinds.select("hash", "context", "times", "one.key", "one.spot"))
-    same = found.where("NOT mixed").select("key", *whole)
-    again = found.where("mixed").join(kinds.where("times > 1").select("hash", "context"), ["hash", "context"]).select("key", *whole)
+    whole = ["k1", "k2", start.alias("start"), (start + n - 1 + length).alias("end")]
+    kinds = found.where("mixed").groupBy("hash", "c1", "c2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k1", "k2", "spot")).alias("one"))
+    kinds = cut(kinds.select("hash", "c1", "c2", "times", "one.k1", "one.k2", "one.spot"))
+    same = found.where("NOT mixed").select(*whole)
+    again = found.where("mixed").join(kinds.where("times > 1").select("hash", "c1", "c2"), ["hash", "c1", "c2"]).select(*whole)
     raw = F.substring(F.col("text").cast("binary"), (start + 1).cast("int"), (n - 1 + length).cast("int"))
-    many = cut(kinds.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_CONTEXTS).select("hash", F.lit(True).alias("many")))
-    kinds = kinds.join(many, "hash", "left")
-    texts = cut(kinds.join(keyed.select("key", "text").dropDuplicates(["key"]), "key").select("hash", "key", "spot", "times", "many", raw.alias("bytes")))
-    few = texts.where("many IS NULL").groupBy("hash").agg(F.collect_list(F.struct("key", "spot", "times", "bytes")).alias("contexts"))
-    return same.union(again).union(_sorted_out(few.select("contexts"), length)).union(_counted_out(texts.where("many"), length))
+    shares = F.ceil(F.count(F.lit(1)) / SHARE_CONTEXTS)
+    hot = cut(kinds.groupBy("hash").agg(shares.alias("shares")).where("shares > 1"))
+    dealt = kinds.join(hot, "hash", "left").withColumn("shares", F.coalesce("shares", F.lit(1).cast("long"))).withColumn("share", F.pmod("c1", "shares"))
+    contexts = dealt.join(keyed.select("k1", "k2", "text"), ["k1", "k2"]).select("hash", "share", "shares", "c1", "c2", "k1", "k2", "spot", "times", raw.alias("bytes"))
+    sorted_out = cut(_sorted_out(contexts, length))
+    apart = sorted_out.where("hash IS NULL").select("k1", "k2", "start", "end")
+    return same.union(again).union(apart).union(_across(sorted_out.where("hash IS NOT NULL"), length))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text", with_text: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -262,9 +292,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_
         raise ValueError(f"length: from {GRAM + 1} to {GRAM + 255}")
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     carried = [F.col(c).alias(f"__{i}") for i, c in enumerate(keep)]
-    keyed = docs.select(F.col(id_column).alias("id"), text.alias("text"), *carried).withColumn("key", F.xxhash64("id", "text"))
-    spans = repeated_spans(keyed, length).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    joined = keyed.join(spans, "key", "left")
+    keyed = docs.select(F.col(id_column).alias("id"), text.alias("text"), *carried).select("*", *document_key("id", "text"))
+    spans = repeated_spans(keyed, length).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    joined = keyed.join(spans, ["k1", "k2"], "left")
     kind = docs.schema[id_column].dataType.simpleString()
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text, *keep]
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import bpe, components, decontaminate, langid, neardup, planes, quality, sharding, suffixes, toxicity, urls
+from millrace.llm._text import blocks
 from tests.llm import brute
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -439,10 +440,30 @@ def test_anchors_with_many_contexts(spark, monkeypatch):
     table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     expected = sorted(((i, *r[:3], brute.sha(r[3])) for i, r in enumerate(brute.repeats(docs))), key=repr)
     for most in (3, 4096):
-        monkeypatch.setattr(suffixes, "MOST_CONTEXTS", most)
+        monkeypatch.setattr(suffixes, "SHARE_CONTEXTS", most)
         assert rows(suffixes.remove_repeats(table), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
 
 
+def test_suffixes_with_colliding_hashes(monkeypatch):
+    """With hashes that all collide, the bytes decide which strings recur, and digests which contexts are equal."""
+    rng = np.random.default_rng(12)
+    word = lambda n: rng.integers(97, 100, n, dtype=np.uint8).tobytes()
+    shared = word(260)
+    contexts = [word(int(a)) + shared + word(30) for a in (0, 20, 40, 40)] + [word(300)]
+    offs, counts = np.array([0, 20, 40, 40, 7]), np.array([len(c) - 199 for c in contexts])
+    group = np.zeros(5, np.int64)
+    expected = [f.tolist() for f in suffixes.recurring(contexts, offs, counts, group)]
+    strings = [[c[i : i + 200] for i in range(n)] for c, n in zip(contexts, counts, strict=True)]
+    every = [(o - i, s) for o, c in zip(offs, strings, strict=True) for i, s in enumerate(c)]
+    assert expected == [[every.count((o - i, s)) > 1 for i, s in enumerate(c)] for o, c in zip(offs, strings, strict=True)]
+    monkeypatch.setattr(suffixes, "span_hash", lambda prefix, starts, ends: np.zeros(len(starts), np.uint64))
+    assert [f.tolist() for f in suffixes.recurring(contexts, offs, counts, group)] == expected
+    block = next(blocks(pa.array([b.decode() for b in (word(250), word(250), shared, shared)])))
+    found = suffixes.anchors(block)
+    kinds = {(tuple(c), block.data[o + s : o + s + n + 199].tobytes()) for c, s, n, o in zip(found["context"].tolist(), found["start"].tolist(), found["n"].tolist(), block.offsets[found["doc"]].tolist(), strict=True)}
+    assert len({c for c, _ in kinds}) == len({b for _, b in kinds}) == len(kinds)
+
+
 def test_workers_forget_what_another_operator_keeps():
     from millrace.llm import _text
 
