@@ -21,7 +21,7 @@ _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
-#: ASCII white space, and the word characters of the two word rules in use.
+#: All but ASCII white space.
 _NOT_SPACE = np.ones(256, bool)
 _NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 #: A-Z to a-z, every other byte to itself.
@@ -163,9 +163,11 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(h)
 
 
-def word_spans(block: Block, is_word: np.ndarray = _NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of maximal runs of word bytes within documents, and n + 1 offsets of words by document."""
-    inside = is_word[block.data]
+def word_spans(block: Block, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of maximal runs of word bytes (inside; without it, all but white space) within documents, and n + 1 offsets
+    of words by document."""
+    if inside is None:
+        inside = _NOT_SPACE[block.data]
     # A document's first byte can't continue a word of the document before it.
     edges = block.offsets[(block.offsets < len(inside))]
     before = np.empty_like(inside)

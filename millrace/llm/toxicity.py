@@ -9,6 +9,10 @@ position at a time; words that left the automaton drop out at once.  Each hit is
 weighed by what its entry and edit distance say in training, and put into one of
 two contexts by the words around it: quotation (quotation marks or reporting
 verbs nearby) or plain use.  A logistic regression on these sums gives the score.
+
+Words and quotation marks are those of code points: letters and digits of any
+script make words; punctuation, typographic quotation marks among it, doesn't.
+Words too long for an automaton are entries too, found as they are spelt.
 """
 
 from __future__ import annotations
@@ -22,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import cut
 from ._text import Block, LOWER, blocks, prefix_hash, rows_of, span_hash, tidied, word_spans
 
 #: Labelled documents that training reads at most.
 TRAINING_ROWS = 20_000
-#: Bytes of a lexicon entry at most.
+#: Bytes of an entry that misspellings are looked for; a longer one is found as it is spelt.
 LONGEST_TERM = 24
 #: Lexicon entries in one automaton; a larger lexicon has several, since states grow faster than the entries they are for.
 AUTOMATON_ENTRIES = 256
@@ -39,9 +44,52 @@ FEATURES = 6
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), 0x40]] = True
 _WORD[0x80:] = True
-_QUOTES = np.zeros(256, bool)
-_QUOTES[[0x22, 0xAB, 0xBB]] = True  # " and the last bytes of the angle quotes
-REPORTING = "said says say wrote writes write quoted quote called told claimed dit disait écrit sagte schrieb dijo escribió".split()
+#: Code points beyond ASCII that are neither letters nor digits, in the blocks that texts of letters hold.
+_SIGNS = [
+    *(c for c in range(0x80, 0xC0) if c not in (0xAA, 0xB5, 0xBA)), *range(0x2000, 0x2070), *range(0x3000, 0x3004), *range(0x3008, 0x3021), 0x3030,
+    *range(0xFF01, 0xFF10), *range(0xFF1A, 0xFF21), *range(0xFF3B, 0xFF41), *range(0xFF5B, 0xFF66),
+]
+#: Quotation marks beyond ASCII. The right single one is also the apostrophe: between word characters it is no quotation mark.
+_MARKS = [ord(c) for c in "«»‘’‚‛“”„‟‹›「」『』〝〞〟＂｢｣"]
+_APOSTROPHE = ord("’")
+#: Words near which a hit counts as quoted: reporting verbs of the languages that the synthetic texts have. A parameter of train().
+REPORTING = tuple("said says say wrote writes write quoted quote called told claimed dit disait écrit sagte schrieb dijo escribió".split())
+
+
+def _class_table() -> np.ndarray:
+    table = np.zeros(0x10000, np.uint8)
+    table[_SIGNS] = 1
+    table[_MARKS] = 2
+    return table
+
+
+_CLASS = _class_table()
+
+
+def words_and_marks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes of UTF-8 texts end to end belong to words, and which to quotation marks."""
+    word, mark = _WORD[data], data == 0x22
+    for lead, kind, length in ((0xC0, 0xE0, 2), (0xE0, 0xF0, 3)):
+        at = np.flatnonzero((data >= lead) & (data < kind))
+        at = at[at + length <= len(data)]
+        point = (data[at] & (0x1F if length == 2 else 0x0F)).astype(np.int64)
+        for k in range(1, length):
+            point = point << 6 | (data[at + k] & 0x3F)
+        sign = _CLASS[point] > 0
+        at, point = at[sign], point[sign]
+        for k in range(length):
+            word[at + k] = False
+        if length == 3:
+            inner = np.flatnonzero(point == _APOSTROPHE)
+            inner = inner[(at[inner] > 0) & (at[inner] + 3 < len(data))]
+            inner = inner[word[at[inner] - 1] & word[at[inner] + 3]]
+            point[inner] = 0
+        at = at[_CLASS[point] == 2]
+        for k in range(length):
+            mark[at + k] = True
+    return word, mark
+
+
 _DEAD = 0
 
 
@@ -161,20 +209,26 @@ class Automata:
     """The automata of a lexicon of any size."""
 
     parts: list[Automaton]
-    first: list[int]  # entry of each part with which it begins
+    entries: list[np.ndarray]  # of each part, as numbers in the lexicon
+    spelt: dict[bytes, int]  # entries over LONGEST_TERM bytes
 
     @classmethod
     def build(cls, lexicon: list[bytes]) -> Automata:
-        first = list(range(0, max(len(lexicon), 1), AUTOMATON_ENTRIES))
-        return cls([Automaton.build(lexicon[k : k + AUTOMATON_ENTRIES]) for k in first], first)
+        short = [i for i, w in enumerate(lexicon) if len(w) <= LONGEST_TERM]
+        parts = [short[k : k + AUTOMATON_ENTRIES] for k in range(0, max(len(short), 1), AUTOMATON_ENTRIES)]
+        spelt = {w: i for i, w in enumerate(lexicon) if len(w) > LONGEST_TERM}
+        return cls([Automaton.build([lexicon[i] for i in part]) for part in parts], [np.array(part, np.int32) for part in parts], spelt)
 
     def match(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """As Automaton.match, over all parts."""
-        found = [part.match(data, starts, ends) for part in self.parts]
+        found = [(w, part[e], d) for part, (w, e, d) in zip(self.entries, (part.match(data, starts, ends) for part in self.parts), strict=True)]
+        if self.spelt:
+            long = np.flatnonzero(ends - starts > LONGEST_TERM)
+            hits = [(i, e) for i, s, t in zip(long.tolist(), starts[long].tolist(), ends[long].tolist(), strict=True) if (e := self.spelt.get(LOWER[data[s:t]].tobytes())) is not None]
+            found.append((np.array([i for i, _ in hits], np.int64), np.array([e for _, e in hits], np.int32), np.zeros(len(hits), np.int32)))
         if len(found) == 1:
             return found[0]
-        words, distance = (np.concatenate([f[k] for f in found]) for k in (0, 2))
-        entry = np.concatenate([f[1] + k for k, f in zip(self.first, found, strict=True)]).astype(np.int32)
+        words, entry, distance = (np.concatenate([f[k] for f in found]) for k in range(3))
         order = np.lexsort((entry, distance, words))
         words, entry, distance = words[order], entry[order], distance[order]
         new = np.ones(len(words), bool)
@@ -182,7 +236,7 @@ class Automata:
         return words[new], entry[new], distance[new]
 
 
-def _hash_words(words: list[str]) -> np.ndarray:
+def _hash_words(words: tuple[str, ...]) -> np.ndarray:
     raw = [w.encode() for w in words]
     ends = np.cumsum([len(w) for w in raw])
     return np.sort(span_hash(prefix_hash(np.frombuffer(b"".join(raw), np.uint8), lower=True), np.r_[0, ends[:-1]], ends))
@@ -195,22 +249,25 @@ class Toxicity:
     #: Log-odds of entry and edit distance, and the regression's weights with the intercept last.
     weights: np.ndarray
     coefficients: np.ndarray
+    reporting: tuple[str, ...] = REPORTING
 
     def hits(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Document, entry, distance, whether in quotation, for each hit; and the number of words by document."""
-        starts, ends, words = word_spans(block, _WORD)
+        inside, mark = words_and_marks(block.data)
+        starts, ends, words = word_spans(block, inside)
         found, entry, distance = self.automaton.match(block.data, starts, ends)
         doc = rows_of(words)[found]
-        # Words around a hit, within its document, from the byte before the first to the byte after the last.
+        # Words around a hit, within its document, and the signs on both sides of each.
         first, last = np.maximum(found - CONTEXT_WORDS, words[doc]), np.minimum(found + CONTEXT_WORDS, words[doc + 1] - 1)
-        left, right = np.maximum(starts[first] - 1, block.offsets[doc]), np.minimum(ends[last] + 1, block.offsets[doc + 1])
+        left = np.where(first > words[doc], ends[first - 1], block.offsets[doc])
+        right = np.where(last + 1 < words[doc + 1], starts[np.minimum(last + 1, len(starts) - 1)], block.offsets[doc + 1])
         marks = np.zeros(len(block.data) + 1, np.int64)
-        np.cumsum(_QUOTES[block.data], out=marks[1:])
+        np.cumsum(mark, out=marks[1:])
         quoted = marks[right] - marks[left] > 0
-        if len(found):
+        if len(found) and self.reporting:
             span = np.minimum(first[:, None] + np.arange(2 * CONTEXT_WORDS + 1), last[:, None])
             prefix = prefix_hash(block.data, lower=True)
-            keys = _hash_words(REPORTING)
+            keys = _hash_words(self.reporting)
             h = span_hash(prefix, starts[span.ravel()], ends[span.ravel()])
             at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             quoted |= (keys[at] == h).reshape(span.shape).any(1)
@@ -245,7 +302,7 @@ def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return b
 
 
-def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", rows: int = TRAINING_ROWS) -> Toxicity:
+def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", rows: int = TRAINING_ROWS, reporting: tuple[str, ...] = REPORTING) -> Toxicity:
     """A model from labelled documents: at most rows of them, those whose hashed ids are least, read whole.
 
     The bound on rows also bounds what is broadcast and what the driver receives.  Without both classes every score is the
@@ -257,6 +314,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     chosen = sample.collect()
     picked = spark.createDataFrame(chosen, sample.schema) if chosen else sample
     texts = docs.select(F.col(id_column).alias("__id"), F.col(text_column).cast("string").alias("text")).join(F.broadcast(picked), "__id").select("text", "__y")
+    # Every pass below reads these few texts, not all documents again.
+    texts = cut(texts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, list[int]] = {}
@@ -264,12 +323,12 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         for batch in batches:
             label = batch.column(1).to_pylist()
             for block in blocks(batch.column(0)):
-                starts, ends, words = word_spans(block, _WORD)
+                starts, ends, words = word_spans(block, words_and_marks(block.data)[0])
                 low = LOWER[block.data].tobytes()
                 for i in range(block.n):
                     y = label[block.first + i]
                     size[y] += 1
-                    for w in {low[s:e] for s, e in zip(starts[words[i] : words[i + 1]].tolist(), ends[words[i] : words[i + 1]].tolist(), strict=True) if e - s <= LONGEST_TERM}:
+                    for w in {low[s:e] for s, e in zip(starts[words[i] : words[i + 1]].tolist(), ends[words[i] : words[i + 1]].tolist(), strict=True)}:
                         seen.setdefault(w, [0, 0])[y] += 1
         rows = [(b"", size[0], size[1]), *((w, *n) for w, n in seen.items())]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64()))], ["word", "clean", "toxic"])
@@ -280,11 +339,11 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     empty = Automata.build([])
     if not n_clean or not n_toxic:
         share = (n_toxic + 0.5) / (n_clean + n_toxic + 1)
-        return Toxicity([], empty, np.zeros((0, 3)), np.array([0.0] * FEATURES + [np.log(share / (1 - share))]))
+        return Toxicity([], empty, np.zeros((0, 3)), np.array([0.0] * FEATURES + [np.log(share / (1 - share))]), reporting)
     odds = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
     chosen = counts.where((F.length("word") > 0) & (F.col("toxic") >= max(3, 0.01 * n_toxic)) & (odds >= 6)).select("word", (odds * F.col("toxic")).alias("rank")).collect()
     lexicon = [w for _, w in sorted((-r["rank"], bytes(r["word"])) for r in chosen)]
-    model = Toxicity(lexicon, Automata.build(lexicon), np.ones((max(len(lexicon), 1), 3)), np.zeros(FEATURES + 1))
+    model = Toxicity(lexicon, Automata.build(lexicon), np.ones((max(len(lexicon), 1), 3)), np.zeros(FEATURES + 1), reporting)
     seen = np.zeros_like(model.weights)
     shared = spark.sparkContext.broadcast(model)
 

@@ -104,3 +104,42 @@ def near_duplicates(ids, texts, width, threshold=80):
 
 def crc(ids):
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def edits(a, b):
+    """Levenshtein distance of two byte strings."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def lexicon_hits(text, lexicon, allowed, longest, reporting, reach=8):
+    """(entry, distance, quoted) of each word within reach of a lexicon entry, in the order of the text."""
+    marks = "\"«»‘’‚‛“”„‟‹›"
+    points = [(c, c.isalnum() or c == "@") for c in text or ""]
+    spans, start = [], None
+    for i, (_, inside) in enumerate([*points, (" ", False)]):
+        if inside and start is None:
+            start = i
+        elif not inside and start is not None:
+            spans.append((start, i))
+            start = None
+
+    def is_mark(i):
+        apostrophe = text[i] == "’" and 0 < i < len(text) - 1 and points[i - 1][1] and points[i + 1][1]
+        return text[i] in marks and not apostrophe
+
+    words = [text[a:b].translate(LOWER) for a, b in spans]
+    out = []
+    for k, w in enumerate(words):
+        raw = w.encode()
+        near = [(edits(raw, e), i) for i, e in enumerate(lexicon) if (edits(raw, e) <= (allowed(e) if len(e) <= longest else 0))]
+        if near:
+            first, last = max(k - reach, 0), min(k + reach, len(words) - 1)
+            left, right = spans[first - 1][1] if first else 0, spans[last + 1][0] if last + 1 < len(words) else len(text)
+            quoted = any(is_mark(i) for i in range(left, right)) or any(x in reporting for x in words[first : last + 1])
+            out.append((min(near)[1], min(near)[0], quoted))
+    return out

@@ -302,15 +302,6 @@ def test_toxicity_of_short_terms(spark):
 def test_automaton_is_levenshtein():
     lexicon = [b"idiot", b"worthless", b"disgusting", b"scum"]
     automaton = toxicity.Automaton.build(lexicon)
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, before = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
-        return row[-1]
-
     rng = np.random.default_rng(9)
     words = [bytes(w) for w in lexicon]
     for w in lexicon:
@@ -332,10 +323,32 @@ def test_automaton_is_levenshtein():
     found, entry, far = automaton.match(data, starts, ends)
     got = {int(f): (int(d), int(e)) for f, e, d in zip(found, entry, far, strict=True)}
     for k, w in enumerate(words):
-        near = [(distance(w, x), i) for i, x in enumerate(lexicon) if distance(w, x) <= toxicity.edits_allowed(x)]
+        near = [(brute.edits(w, x), i) for i, x in enumerate(lexicon) if brute.edits(w, x) <= toxicity.edits_allowed(x)]
         assert got.get(k) == (min(near) if near else None)
 
 
+def test_quotation_and_words_by_code_point():
+    lexicon = [b"idiot", b"worthless", "crétin".encode(), b"scum", b"a" * 30]
+    model = toxicity.Toxicity(lexicon, toxicity.Automata.build(lexicon), np.ones((5, 3)), np.zeros(toxicity.FEATURES + 1))
+    plain = ["Zoë you are an idiot", "août: an idiot, it’s clear", "the idiots’s idiot", "¿idiot? no", "an idiot…", "x" * 40 + " idiot", "a" * 30, "a" * 31, "Ünïdiot idiôt"]
+    quoted = ["he saw “idiot” there", "„idiot“", "«idiot»", "« idiot »", "‘idiot’", "‚idiot‘", '"idiot"', "she said idiot", "‹idiot›", "idiot écrit"]
+    far = ["“yes” " + "word " * 12 + "idiot"]
+    for texts, expected in ((plain, False), (quoted, True), (far, False)):
+        for t in texts:
+            doc, entry, distance, flags, _ = model.hits(next(blocks(pa.array([t]))))
+            found = list(zip(entry.tolist(), distance.tolist(), flags.tolist(), strict=True))
+            assert found == brute.lexicon_hits(t, lexicon, toxicity.edits_allowed, toxicity.LONGEST_TERM, toxicity.REPORTING), t
+            assert {f[2] for f in found} <= {expected}, t
+    assert all(len(model.hits(next(blocks(pa.array([t]))))[0]) for t in [*quoted, *far, *plain[:7]])
+    rng = np.random.default_rng(13)
+    bits = ["idiot", "idot", "Worthless", "worthles", "crétin", "cretin", "scum", "skum", "said", "word", "it’s", "“", "”", "‘", "’", "«", "»", '"', ",", "\u00a0", "。", "名", "a" * 30]
+    texts = ["".join(str(rng.choice(bits)) + str(rng.choice([" ", " ", " ", ""])) for _ in range(60)) for _ in range(60)]
+    block = next(blocks(pa.array(texts)))
+    doc, entry, distance, flags, n = model.hits(block)
+    got = list(zip(doc.tolist(), entry.tolist(), distance.tolist(), flags.tolist(), strict=True))
+    assert got == [(k, *h) for k, t in enumerate(texts) for h in brute.lexicon_hits(t, lexicon, toxicity.edits_allowed, toxicity.LONGEST_TERM, toxicity.REPORTING)]
+
+
 def test_planes(spark, nasty, empty, tokenizer):
     for kind in (4, 32):
         out = planes.plane_documents(nasty, WORD_BPE, planes=kind)
