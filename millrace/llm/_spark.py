@@ -41,6 +41,26 @@ class Stored:
         path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Keys with very many rows that are broadcast at most, and rows below which a key isn't one of these.
+HOT_KEYS = 10_000
+HOT_ROWS = 1_000
+
+
+def join_totals(rows: DataFrame, size: int, keys: list[str], *totals: Column) -> DataFrame:
+    """rows joined with aggregates over the rows of each key, and with their number as n; size: how many rows there are, about.
+
+    Keys with more than a ten-thousandth of all rows, of which there are about HOT_KEYS at most whatever the data, are joined by
+    a broadcast, so that no task gets a hot key's rows; the others by a shuffle.
+    """
+    found = rows.groupBy(*keys).agg(*totals, F.count(F.lit(1)).alias("n"))
+    if size <= HOT_ROWS:
+        return rows.join(found, keys)
+    limit = max(HOT_ROWS, size // HOT_KEYS)
+    hot = rows.join(F.broadcast(found.where(F.col("n") > limit)), keys)
+    rest = rows.join(F.broadcast(found.where(F.col("n") > limit).select(*keys)), keys, "left_anti")
+    return hot.unionByName(rest.join(found.where(F.col("n") <= limit), keys))
+
+
 def document_key(id_column: Column | str, text: Column | str) -> list[Column]:
     """Identity of a document as columns k1 and k2: 128 bits of its id and text, so that repeated rows agree and clashing ids do not."""
     return [F.xxhash64(id_column, text).alias("k1"), F.xxhash64(F.lit(1), id_column, text).alias("k2")]

@@ -4,8 +4,8 @@ Kiveris et al., "Connected Components in MapReduce and Beyond" (2014).  Edges
 stay in DataFrames throughout; each round's edges are written to the shared
 checkpoint folder, so neither lineage nor the driver grows with the graph.  A
 vertex with very many neighbours is only ever aggregated with min(), which
-combines before the shuffle, and joined back, which adaptive execution can
-split; its neighbours are never gathered into one list.
+combines before the shuffle, and joined back by a broadcast of the few such
+vertices; its neighbours are never gathered, in a list or in a task.
 """
 
 from __future__ import annotations
@@ -13,21 +13,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut
+from ._spark import cut, join_totals
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, size: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    moved = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.where("u <> v").distinct()
+    moved = join_totals(both, 2 * size, ["u"], F.min("v").alias("m")).where("v > u")
+    return moved.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, size: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    moved = join_totals(down, size, ["u"], F.min("v").alias("m"))
+    own = moved.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+    return own.select("e.u", "e.v").where("u <> v").distinct()
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -44,7 +43,7 @@ def connected_components(edges: DataFrame, source: str = "u", target: str = "v")
     edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _state(edges)
     while before[0]:
-        edges = cut(_small_star(_large_star(edges)))
+        edges = cut(_small_star(_large_star(edges, before[0]), before[0]))
         after = _state(edges)
         if after == before:
             break

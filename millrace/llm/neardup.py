@@ -28,16 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import cut
+from ._spark import cut, document_key, join_totals
 from ._text import blocks, mix, prefix_hash, release, rows_of, sort_by_document, span_hash, tidied, window_starts, word_spans
 from .components import connected_components
 
-#: Registers and rows in a band: a pair at similarity 0.8 shares no band once in 300,000 times.
+#: Registers, and the share of pairs at the threshold that may agree in no band: band_rows chooses the bands for it.
 REGISTERS = 96
-BAND_ROWS = 4
+MISSED = 1e-5
 #: Pairs whose signatures agree in a smaller share than the threshold minus this (over four standard deviations) aren't compared.
 MARGIN = 0.19
 #: A part of a cluster in one task: documents and shingles.
@@ -49,6 +49,14 @@ HUBS = 16
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+def band_rows(threshold: int) -> int:
+    """Registers in a band: as many as MISSED allows. At 80, 4: a pair shares no band once in 300,000 times."""
+    for rows in (8, 6, 4, 3, 2, 1):
+        if (1 - (threshold / 100) ** rows) ** (REGISTERS // rows) <= MISSED:
+            return rows
+    raise ValueError(f"threshold {threshold}: too low for {REGISTERS} registers; exact=True has no such limit")
+
+
 def shingle_sets(block, width: int) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
     """Distinct hashes of shingles of width words, A-Z lower-cased, sorted within each document, and n + 1 offsets.
 
@@ -118,9 +126,13 @@ def signatures(x: np.ndarray, offsets: np.ndarray, registers: int = REGISTERS) -
     return out.reshape(n, m)
 
 
-def _describe(docs: DataFrame, width: int) -> DataFrame:
-    """One row for each document: its key, set size, set fingerprint and signature (two bytes a register, then bands)."""
-    bands = REGISTERS // BAND_ROWS
+def _describe(docs: DataFrame, width: int, threshold: int, exact: bool) -> DataFrame:
+    """One row for each document: its key, set size, set fingerprint, signature (two bytes a register) and band hashes.
+
+    With exact, the least hashes of the set itself take the place of bands: as many as no linked set can do without all of.
+    """
+    rows = 1 if exact else band_rows(threshold)
+    bands = REGISTERS // rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,24 +149,30 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
                 sig = signatures(x, offsets)
                 short = (mix(sig) >> np.uint64(48)).astype("<u2")
                 band = np.zeros((block.n, bands), np.uint64)
-                for k in range(BAND_ROWS):
-                    band = mix(band * _GOLDEN + sig[:, k::BAND_ROWS])
+                for k in range(rows):
+                    band = mix(band * _GOLDEN + sig[:, k::rows])
                 as_bytes = lambda a: pa.array([r.tobytes() for r in a], pa.binary())
                 here = slice(block.first, block.first + block.n)
-                ids, keys = (batch.column(c).slice(here.start, block.n) for c in (1, 2))
-                lists = pa.ListArray.from_arrays(np.arange(0, block.n * bands + 1, bands, dtype=np.int32), pa.array(band.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([ids, keys, pa.array(count, pa.int64()), as_bytes(mark), as_bytes(short), lists], ["id", "key", "n", "fp", "sig", "bands"])
+                keys = [batch.column(c).slice(here.start, block.n) for c in (1, 2, 3)]
+                if exact:
+                    # A set that shares threshold of the union holds one of these; they are the same hashes in the same order for all.
+                    least = np.where(count > 0, count - -(-threshold * count // 100) + 1, 0)
+                    chosen = np.arange(least.sum()) + np.repeat(offsets[:-1] - (np.cumsum(least) - least), least)
+                    lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(least)].astype(np.int32), pa.array(x[chosen].view(np.int64)))
+                else:
+                    lists = pa.ListArray.from_arrays(np.arange(0, block.n * bands + 1, bands, dtype=np.int32), pa.array(band.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(count, pa.int64()), as_bytes(mark), as_bytes(short), lists], ["id", "k1", "k2", "n", "fp", "sig", "bands"])
 
-    return docs.select("text", "id", "key").mapInArrow(tidied(run), f"id {docs.schema['id'].dataType.simpleString()}, key long, n long, fp binary, sig binary, bands array<long>")
+    return docs.select("text", "id", "k1", "k2").mapInArrow(tidied(run), f"id {docs.schema['id'].dataType.simpleString()}, k1 long, k2 long, n long, fp binary, sig binary, bands array<long>")
 
 
-def _join(sets: list[np.ndarray], sig: np.ndarray, root: np.ndarray, side: np.ndarray, threshold: int) -> np.ndarray:
+def _join(sets: list[np.ndarray], sig: np.ndarray, root: np.ndarray, side: np.ndarray, threshold: int, exact: bool) -> np.ndarray:
     """root, numbers that tell what is joined already, after joining linked documents; if there are two sides, links across them only."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     root = root.copy()
     across = side.min() != side.max() if n else False
-    floor = (threshold / 100 - MARGIN) * sig.shape[1]
+    floor = 0 if exact else (threshold / 100 - MARGIN) * sig.shape[1]
     for i in range(1, n):
         fit = root[:i] != root[i]
         fit &= 100 * np.minimum(sizes[:i], sizes[i]) >= threshold * np.maximum(sizes[:i], sizes[i])
@@ -172,7 +190,7 @@ def _join(sets: list[np.ndarray], sig: np.ndarray, root: np.ndarray, side: np.nd
     return root
 
 
-def _verify(texts: DataFrame, width: int, threshold: int) -> DataFrame:
+def _verify(texts: DataFrame, width: int, threshold: int, exact: bool) -> DataFrame:
     """(u, v, hub) for each document u of each group of texts (cluster, a, b: text, fp, sig, root, side, hub).
 
     v is the least document that verified links, and root, join with u; hub says whether a hub is among those.
@@ -189,7 +207,7 @@ def _verify(texts: DataFrame, width: int, threshold: int) -> DataFrame:
             sets += [x[a:b].copy() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         sig = np.array([np.frombuffer(s, "<u2") for s in table.column("sig").to_pylist()]).reshape(len(sets), -1)
         before = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
-        _, first, of = np.unique(_join(sets, sig, before, table.column("side").to_numpy(), threshold), return_index=True, return_inverse=True)
+        _, first, of = np.unique(_join(sets, sig, before, table.column("side").to_numpy(), threshold, exact), return_index=True, return_inverse=True)
         hub = np.zeros(len(first), bool)
         np.logical_or.at(hub, of, table.column("hub").to_numpy(zero_copy_only=False))
         del sets, sig
@@ -207,11 +225,11 @@ def _parts(members: DataFrame, name: str) -> DataFrame:
     return members.join(counts, "cluster").withColumn(name, F.pmod(F.xxhash64("fp", F.lit(7)), F.col(f"{name}s")).cast("int"))
 
 
-def _links(members: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Verified links (u, v) that join what belongs together in each cluster of members (cluster, fp, key, n, sig); texts: key, text."""
+def _links(members: DataFrame, texts: DataFrame, width: int, threshold: int, exact: bool) -> DataFrame:
+    """Verified links (u, v) that join what belongs together in each cluster of members (cluster, fp, k1, k2, n, sig); texts: k1, k2, text."""
     members = cut(_parts(members, "part"))
-    columns, side, zero = ["key", "cluster", "fp", "sig"], F.lit(0).alias("side"), F.lit(0).alias("b")
-    with_text = lambda rows: texts.join(rows, "key").dropDuplicates(["key", "a", "b", "side"])
+    columns, side, zero = ["k1", "k2", "cluster", "fp", "sig"], F.lit(0).alias("side"), F.lit(0).alias("b")
+    with_text = lambda rows: texts.join(rows, ["k1", "k2"]).dropDuplicates(["k1", "k2", "a", "b", "side"])
     large = members.where("parts > 1")
     first = Window.partitionBy("cluster").orderBy("fp")
     hubs = large.withColumn("place", F.row_number().over(first)).where(F.col("place") <= HUBS)
@@ -219,12 +237,12 @@ def _links(members: DataFrame, texts: DataFrame, width: int, threshold: int) ->
     own = members.select(*columns, F.col("fp").alias("root"), F.col("part").alias("a"), zero, side, hub.alias("hub"))
     shared = hubs.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("a")).where("a <> part")
     shared = shared.select(*columns, F.col("fp").alias("root"), "a", zero, side, hub.alias("hub"))
-    found = cut(_verify(with_text(own.union(shared)), width, threshold))
+    found = cut(_verify(with_text(own.union(shared)), width, threshold, exact))
     links = found.where("u <> v").select("u", "v")
     # What a part joins with the hub, the least document of a cluster, belongs together in all parts.
     joined = found.groupBy("u").agg(F.max("hub").alias("hub"), F.min("v").alias("v"))
     apart = F.when(F.col("hub"), F.col("cluster")).otherwise(F.col("v")).alias("root")
-    rooted = large.join(joined, F.col("fp") == F.col("u")).select("cluster", "fp", "key", "n", "sig", "part", "parts", "hub", apart)
+    rooted = large.join(joined, F.col("fp") == F.col("u")).select("cluster", "fp", "k1", "k2", "n", "sig", "part", "parts", "hub", apart)
     rest = cut(_parts(rooted.where("NOT hub"), "rest"))
     if rest.isEmpty():
         return links
@@ -232,56 +250,60 @@ def _links(members: DataFrame, texts: DataFrame, width: int, threshold: int) ->
     no = F.lit(False).alias("hub")
     one = rest.select(*columns, "root", F.col("rest").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("b"), side, no)
     other = rooted.join(counts, "cluster").select(*columns, "root", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("a"), F.col("part").alias("b"), F.lit(1).alias("side"), no)
-    more = cut(_verify(with_text(one.union(other)), width, threshold))
+    more = cut(_verify(with_text(one.union(other)), width, threshold, exact))
     return links.union(more.where("u <> v").select("u", "v"))
 
 
-def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    return docs.withColumn("key", F.xxhash64(F.col(id_column), text)).withColumn("text", text).withColumn("id", F.col(id_column))
+def _text(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def _groups(docs: DataFrame, width: int, threshold: int, id_column: str, text_column: str) -> DataFrame:
-    """(id, key, n, component_id, first) of every document; first is the key of the document that stays in its group."""
-    keyed = _keyed(docs.select(F.col(id_column).alias("__i"), F.col(text_column).alias("__t")), "__i", "__t").select("id", "key", "text")
-    every = cut(_describe(keyed, width))
+def _groups(docs: DataFrame, width: int, threshold: int, id_column: str, text_column: str, exact: bool) -> DataFrame:
+    """(id, k1, k2, n, component_id, first) of every document; first holds k1 and k2 of the document that stays in its group."""
+    plain = docs.select(F.col(id_column).alias("id"), _text(text_column).alias("text"))
+    keyed = plain.select("*", *document_key("id", "text"))
+    every = cut(_describe(keyed, width, threshold, exact))
     # Of each class the row with the least id stands for all; its key finds its text again.
-    one = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key", "n", "sig", "bands")).alias("r")
-    classes = every.where("n > 0").groupBy("fp").agg(one).select("fp", "r.id", "r.key", "r.n", "r.sig", "r.bands")
+    one = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "k1", "k2", "n", "sig", "bands")).alias("r")
+    classes = every.where("n > 0").groupBy("fp").agg(one).select("fp", "r.id", "r.k1", "r.k2", "r.n", "r.sig", "r.bands")
     classes = cut(classes)
-    banded = classes.select("fp", F.posexplode("bands").alias("band", "hash"))
-    buckets = banded.groupBy("band", "hash").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    candidates = banded.join(buckets, ["band", "hash"]).select("fp", "least").where("fp <> least").distinct()
+    size = classes.count()
+    # The least hashes of a set are the same whatever their place, registers are not.
+    banded = classes.select("fp", F.posexplode("bands").alias("band", "hash")).withColumn("band", F.lit(0) if exact else F.col("band"))
+    candidates = join_totals(banded, size * REGISTERS // 4, ["band", "hash"], F.min("fp").alias("least")).select("fp", "least").where("fp <> least").distinct()
     clusters = connected_components(candidates, "fp", "least").select(F.col("vertex").alias("fp"), F.col("component").alias("cluster"))
     members = classes.drop("bands").join(clusters, "fp")
-    links = _links(members, keyed.select("key", "text"), width, threshold)
+    links = _links(members, keyed.select("k1", "k2", "text"), width, threshold, exact)
     groups = connected_components(links).select(F.col("vertex").alias("fp"), F.col("component").alias("group"))
-    grouped = classes.select("fp", "id", "key").join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
-    least = grouped.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("l"))
-    named = grouped.join(least, "group").select("fp", F.col("l.id").alias("component_id"), F.col("l.key").alias("first"))
-    some = every.where("n > 0").select("id", "key", "n", "fp").join(named, "fp").select("id", "key", "n", "component_id", "first")
-    return some.union(every.where("n = 0").select("id", "key", "n", F.col("id").alias("component_id"), F.col("key").alias("first")))
+    grouped = cut(classes.select("fp", "id", "k1", "k2").join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp")))
+    least = join_totals(grouped, size, ["group"], F.min(F.struct(F.col("id").isNull().alias("no"), "id", "k1", "k2")).alias("l"))
+    named = least.select("fp", F.col("l.id").alias("component_id"), F.struct("l.k1", "l.k2").alias("first"))
+    some = every.where("n > 0").select("id", "k1", "k2", "n", "fp").join(named, "fp").select("id", "k1", "k2", "n", "component_id", "first")
+    return some.union(every.where("n = 0").select("id", "k1", "k2", "n", F.col("id").alias("component_id"), F.struct("k1", "k2").alias("first")))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, id_column: str = "doc_id", text_column: str = "text", exact: bool = False) -> DataFrame:
     """Columns doc_id, n_shingles, component_id (least doc_id of the group), kept (doc_id = component_id).
 
     Documents are linked if 100 * |A and B| >= threshold * |A or B| for their sets of shingles of width words; a group is a
     connected component.  A null text, or one without words, has an empty set and is a group of its own.  Repeated rows are in
     one group, and each of them is kept if it has the least doc_id.  Null ids count as greater than all others; a group of
     nothing else has a null component_id and is kept.  An empty table gives no rows; other columns are ignored.
+
+    Pairs at the threshold are missed about five times in a million, by bands or by signatures that are off by MARGIN.  exact
+    misses none: it takes candidates from shares of the sets and compares signatures with nothing, at the cost of many more
+    candidates.  Bands are chosen for the threshold; below 12 only exact works.
     """
-    out = _groups(docs, width, threshold, id_column, text_column)
+    out = _groups(docs, width, threshold, id_column, text_column, exact)
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, threshold: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of docs for each group of near_duplicates, that of the least id, with all columns; rows without words all stay."""
-    groups = _groups(docs, width, threshold, id_column, text_column)
-    stay = groups.where("key = first").groupBy("key").agg(F.max(F.col("n") > 0).alias("__words"))
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    found = docs.select(F.xxhash64(F.col(id_column), text).alias("key"), F.struct("*").alias("row")).join(stay, "key")
-    return found.where("__words").dropDuplicates(["key"]).union(found.where("NOT __words")).select("row.*")
+    groups = _groups(docs, width, threshold, id_column, text_column, False)
+    stay = groups.where("k1 = first.k1 AND k2 = first.k2").groupBy("k1", "k2").agg(F.max(F.col("n") > 0).alias("__words"))
+    found = docs.select(*document_key(F.col(id_column), _text(text_column)), F.struct("*").alias("row")).join(stay, ["k1", "k2"])
+    return found.where("__words").dropDuplicates(["k1", "k2"]).union(found.where("NOT __words")).select("row.*")
 
 
 def near_duplicates_sql(width: int = 4, threshold: int = 80) -> str:
