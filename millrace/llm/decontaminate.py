@@ -1,14 +1,18 @@
 """Benchmark decontamination by a distributed positional inverted index, in DataFrame operations only.
 
-The index of a set of test phrases holds postings (term, document, position) of
-training tokens.  Every phrase is looked up from its rarest term: term frequencies
-over all documents pick the two rarest terms of each phrase, postings of the rarest
-are shifted by its offset to candidate starts, the list of the second rarest must
-hold the shifted start as well, and what is left must agree word for word.  Postings
-are made and consumed in one pass: a document's tokens stay in its row, so neither
-texts nor postings of common terms are shuffled, and only phrases, whose number is
-checked, are broadcast.  More phrases than one broadcast may hold are looked up in
-blocks.
+1. A first pass over the documents counts the terms of the test phrases; the two
+   rarest terms of each phrase are what it is looked up by.
+2. A second pass stores the index: postings (term, document, position) of all
+   tokens that some phrase is looked up by, those of rarest terms with the words
+   around them, and each document's number of words.
+3. The list of a phrase's rarest term, shifted by its offset, gives candidate
+   starts; these are intersected with the list of the second rarest term, shifted
+   by its own; what is left is compared word for word with the words around the
+   first posting.
+
+Both passes join tokens with a broadcast of terms, whose number is checked; more
+terms than that are indexed in several passes.  Phrases, of which there may be any
+number, are joined with stored postings and never broadcast by hand.
 """
 
 from __future__ import annotations
@@ -16,12 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut
+from ._spark import Stored, cut, document_key
 
 WINDOW = 13
-#: Phrases in one broadcast: some 200 bytes each.
-BLOCK_PHRASES = 100_000
-#: Distinct terms in one broadcast; beyond them counts are joined by a shuffle.
+#: Distinct terms in one broadcast; more are counted by a shuffle, and indexed in a pass for each so many.
 BROADCAST_TERMS = 500_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,86 +75,114 @@ def _anchored(phrases: DataFrame, docs: DataFrame, text_column: str) -> DataFram
     """Each distinct phrase with its two rarest terms and their offsets; phrases with a term that no document holds are gone."""
     distinct = phrases.select("phrase", "words").dropDuplicates(["phrase"])
     each = distinct.select("phrase", F.posexplode("words").alias("off", "word")).withColumnRenamed("word", "term")
-    counts = term_counts(docs, each.select("term").distinct(), text_column)
+    terms = cut(each.select("term").distinct())
+    counts = term_counts(docs, terms, text_column)
+    if terms.count() <= BROADCAST_TERMS:  # common terms stand in very many phrases
+        counts = F.broadcast(counts)
     ranked = each.join(counts, "term", "left").groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "term"))).alias("r"))
     first, second = F.col("r")[0], F.col("r")[F.least(F.size("r") - 1, F.lit(1))]
     return ranked.where(first["n"] > 0).join(distinct, "phrase").select("phrase", "words", first["term"].alias("term"), first["off"].alias("off"), second["term"].alias("term2"), second["off"].alias("off2"))
 
 
-def postings(docs: DataFrame, text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The positional index: (keep..., tokens, lead, position, term) for every token, positions from 0.
+class PositionalIndex:
+    """Stored postings of the documents' tokens, for the given terms.
 
-    tokens is the document's forward list; position + lead is the posting's place in it.  It isn't copied for each posting as
-    long as what follows stays in generated code, up to an operator that drops it or has filtered: use no lambda functions.
+    keyed: id, k1, k2, text; terms: term, primary.  Postings of primary terms hold near, the words up to width - 1 places before
+    and after, and here, the posting's own place in near.
     """
-    held = docs.select(*keep, _raw_tokens(F.col(text_column)).alias("tokens"))
-    every = held.select(*keep, "tokens", F.posexplode_outer("tokens").alias("at", "term")).where("term <> ''")
-    return every.select(*keep, "tokens", _lead(F.col("tokens")).alias("lead"), (F.col("at") - _lead(F.col("tokens"))).alias("position"), "term")
-
-
-def phrase_matches(docs: DataFrame, anchored: DataFrame, text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(keep..., phrase, start, length) for every occurrence of an anchored phrase (see _anchored), start from 0 in words."""
-    n = anchored.count()
-    blocks = max(1, -(-n // BLOCK_PHRASES))
-    out = None
-    for k in range(blocks):
-        part = anchored if blocks == 1 else anchored.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == k)
-        hits = postings(docs, text_column, keep).join(F.broadcast(part), "term")
-        start = F.col("position") - F.col("off")
-        place = start + F.col("lead")
-        length = F.size("words")
-        found = F.slice("tokens", F.greatest(place, F.lit(0)) + 1, length)
-        inside = (start >= 0) & (place + length <= F.size("tokens"))
-        second = F.get(F.col("tokens"), place + F.col("off2")) == F.col("term2")
-        hits = hits.where(F.when(inside, F.when(second, found == F.col("words")).otherwise(False)).otherwise(False))
-        hits = hits.select(*keep, "phrase", start.alias("start"), length.alias("length"))
-        out = hits if out is None else out.union(hits)
-    return out
+
+    def __init__(self, keyed: DataFrame, terms: DataFrame, width: int) -> None:
+        terms = cut(terms)
+        blocks = max(1, -(-terms.count() // BROADCAST_TERMS))
+        parts = [terms if blocks == 1 else terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k) for k in range(blocks)]
+        rows = [self._rows(keyed, part, width) for part in parts]
+        stored = [Stored(r if k == 0 else r.where("term IS NOT NULL")).rows for k, r in enumerate(rows)]
+        self.documents = stored[0].where("leads").select("id", "k1", "k2", "n_words")
+        self.postings = stored[0].where("term IS NOT NULL")
+        for more in stored[1:]:
+            self.postings = self.postings.union(more)
+
+    @staticmethod
+    def _rows(keyed: DataFrame, terms: DataFrame, width: int) -> DataFrame:
+        """A row for each posting, and one for the first token, which stands for its document as well (leads).
+
+        tokens isn't copied for each token as long as what follows stays in generated code: use no lambda functions.
+        """
+        held = keyed.select("id", "k1", "k2", _raw_tokens(F.col("text")).alias("tokens"))
+        every = held.select("id", "k1", "k2", "tokens", F.posexplode_outer("tokens").alias("at", "word"))
+        kept = every.join(F.broadcast(terms), F.col("word") == F.col("term"), "left").where("term IS NOT NULL OR at = 0")
+        at, tokens = F.col("at"), F.col("tokens")
+        first = F.greatest(at - (width - 1), F.lit(0))
+        near = F.when(F.col("primary"), F.slice(tokens, first + 1, at - first + width))
+        leads = at == 0
+        return kept.select(
+            F.when(leads, F.col("id")).alias("id"), "k1", "k2", F.when(leads, _count(tokens)).alias("n_words"), leads.alias("leads"),
+            "term", F.coalesce("primary", F.lit(False)).alias("primary"), (at - _lead(tokens)).alias("position"), near.alias("near"), (at - first).alias("here"),
+        )
+
+
+def _lookup_terms(anchored: DataFrame) -> DataFrame:
+    """(term, primary) of all terms that phrases are looked up by; primary: the rarest of some phrase."""
+    both = anchored.select("term", F.lit(True).alias("primary")).union(anchored.select("term2", F.lit(False)))
+    return both.groupBy("term").agg(F.max("primary").alias("primary"))
+
+
+def phrase_matches(index: PositionalIndex, anchored: DataFrame) -> DataFrame:
+    """(k1, k2, phrase, start, length) for every occurrence of an anchored phrase (see _anchored), start from 0 in words."""
+    start = F.col("position") - F.col("off")
+    first = index.postings.where("primary").select("k1", "k2", "term", "position").join(anchored.drop("words"), "term").where(start >= 0)
+    first = first.select("k1", "k2", "phrase", "term", "position", "term2", (start + F.col("off2")).alias("position2"))
+    second = index.postings.select("k1", "k2", F.col("term").alias("term2"), F.col("position").alias("position2"))
+    both = cut(first.join(second, ["k1", "k2", "term2", "position2"], "left_semi").select("k1", "k2", "phrase", "term", "position"))
+    near = index.postings.where("primary").select("k1", "k2", "term", "position", "near", "here")
+    held = both.join(near, ["k1", "k2", "term", "position"]).join(anchored.select("phrase", "words", "off"), "phrase")
+    place = F.col("here") - F.col("off")
+    agree = F.when(place >= 0, F.slice("near", place + 1, F.size("words")) == F.col("words")).otherwise(False)
+    return held.where(agree).select("k1", "k2", "phrase", start.alias("start"), F.size("words").alias("length")).distinct()
 
 
 def proximity_matches(docs: DataFrame, queries: DataFrame, span: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, query_id, start) where all words of a query stand, in any order, within span consecutive words from start.
 
     queries: query_id, text.  Only starts at which the window holds the query's rarest word are looked at, which is all that
-    can match.  Queries without words, or with more distinct words than span, match nothing.
+    can match.  Queries without words, or with more distinct words than span, match nothing; neither do null texts.
     """
+    keyed = _keyed(docs, id_column, text_column)
     asked = queries.select(F.col("query_id").cast("string").alias("item_id"), "text")
     whole = asked.select("item_id", F.array_distinct(words_of(F.col("text"))).alias("words")).where((F.size("words") > 0) & (F.size("words") <= span))
-    anchored = _anchored(whole.select(F.col("item_id").alias("phrase"), "words"), docs, text_column).drop("term2", "off2", "off")
-    blocks = max(1, -(-anchored.count() // BLOCK_PHRASES))
-    last = F.col("position")
-    starts = F.sequence(F.greatest(last - span + 1, F.lit(0)), last)
-    holds = lambda s: F.size(F.array_except("words", F.slice("near", s - F.col("first") + 1, span))) == 0
-    first = F.greatest(last - span + 1, F.lit(0))
-    out = None
-    for k in range(blocks):
-        part = anchored if blocks == 1 else anchored.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == k)
-        hits = postings(docs.withColumn("__id", F.col(id_column)), text_column, ("__id",)).join(F.broadcast(part), "term")
-        near = hits.select("__id", "phrase", "words", starts.alias("starts"), first.alias("first"), F.slice("tokens", first + F.col("lead") + 1, 2 * span).alias("near"))
-        rows = near.select(F.col("__id").alias("doc_id"), F.col("phrase").alias("query_id"), F.explode(F.filter("starts", holds)).alias("start"))
-        out = rows if out is None else out.union(rows)
-    return out.distinct()
+    anchored = cut(_anchored(whole.select(F.col("item_id").alias("phrase"), "words"), keyed, "text"))
+    index = PositionalIndex(keyed, anchored.select("term", F.lit(True).alias("primary")).distinct(), span)
+    hits = index.postings.join(anchored.select("phrase", "words", "term"), "term").where(F.size(F.array_except("words", "near")) == 0)
+    before = F.least(F.col("here"), F.col("position"))  # words before the posting in near; an empty token may stand before these
+    starts = F.sequence(F.col("position") - before, F.col("position"))
+    holds = lambda s: F.size(F.array_except("words", F.slice("near", s - F.col("position") + F.col("here") + 1, span))) == 0
+    found = hits.select("k1", "k2", "phrase", F.explode(F.filter(starts, holds)).alias("start")).distinct()
+    ids = index.documents.select("k1", "k2", "id").distinct()
+    return found.join(ids, ["k1", "k2"]).select(F.col("id").alias("doc_id"), F.col("phrase").alias("query_id"), "start")
+
+
+def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    plain = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+    return plain.select("*", *document_key("id", "text"))
 
 
 def _judged(docs: DataFrame, items: DataFrame, window: int, id_column: str, text_column: str, item_id: str, item_text: str) -> DataFrame:
-    """contamination with the hash of the text as __hash, which tells documents with one id apart."""
-    keyed = docs.select(F.col(id_column).alias("__id"), F.col(text_column).cast("string").alias("text"))
-    keyed = keyed.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    """contamination with k1 and k2, which tell documents with one id apart."""
+    keyed = _keyed(docs, id_column, text_column)
     phrases = cut(phrases_of(items, window, item_id, item_text))
     anchored = cut(_anchored(phrases, keyed, "text"))
-    hits = cut(phrase_matches(keyed, anchored, "text", ("__id", "__hash")).distinct())
-    spans = hits.groupBy("__id", "__hash").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("spans"))
+    index = PositionalIndex(keyed, _lookup_terms(anchored), window)
+    hits = cut(phrase_matches(index, anchored))
+    spans = hits.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("spans"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     covered = F.aggregate("spans", zero, lambda a, s: F.struct(F.greatest(a["end"], s["end"]).alias("end"), (a["n"] + F.greatest(s["end"] - F.greatest(s["start"], a["end"]), F.lit(0))).alias("n")))
-    spans = spans.select("__id", "__hash", covered["n"].cast("long").alias("n_hit"))
-    names = hits.select("__id", "__hash", "phrase").join(phrases.select("phrase", F.col("item_id").cast("string").alias("item")), "phrase").where("item IS NOT NULL")
-    names = names.groupBy("__id", "__hash").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    found = spans.join(names, [spans["__id"].eqNullSafe(names["__id"]), spans["__hash"] == names["__hash"]], "left").select(spans["__id"], spans["__hash"], "n_hit", "items")
-    every = keyed.select("__id", "__hash", _count(_raw_tokens(F.col("text"))).alias("n_words"))
-    out = every.join(found, [every["__id"].eqNullSafe(found["__id"]), every["__hash"] == found["__hash"]], "left")
+    spans = spans.select("k1", "k2", covered["n"].cast("long").alias("n_hit"))
+    names = hits.select("k1", "k2", "phrase").join(phrases.select("phrase", F.col("item_id").cast("string").alias("item")), "phrase").where("item IS NOT NULL")
+    names = names.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    out = index.documents.join(spans.join(names, ["k1", "k2"], "left"), ["k1", "k2"], "left")
     hit, names = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
-        every["__id"].alias("doc_id"), every["__hash"], "n_words", hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"),
+        F.col("id").alias("doc_id"), "k1", "k2", "n_words", hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"), ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"),
     )
 
@@ -165,15 +195,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     words; an item without words, or a null item text, matches nothing; no items, or no documents, is no error.  Null item ids
     are left out of n_items.  Repeated rows get equal results, rows that share an id but not the text results of their own.
     """
-    return _judged(docs, items, window, id_column, text_column, item_id, item_text).drop("__hash")
+    return _judged(docs, items, window, id_column, text_column, item_id, item_text).drop("k1", "k2")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs that aren't contaminated, with all columns."""
-    bad = _judged(docs, items, window, id_column, text_column, item_id, item_text).where("contaminated").select(F.col("doc_id").alias("__id"), "__hash").distinct()
-    keyed = docs.select(F.col(id_column).alias("id"), F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit(""))).alias("hash"), F.struct("*").alias("row"))
-    kept = keyed.join(bad, keyed["id"].eqNullSafe(bad["__id"]) & (keyed["hash"] == bad["__hash"]), "left_anti")
-    return kept.select("row.*")
+    bad = _judged(docs, items, window, id_column, text_column, item_id, item_text).where("contaminated").select("k1", "k2").distinct()
+    keyed = docs.select(*document_key(F.col(id_column), F.coalesce(F.col(text_column).cast("string"), F.lit(""))), F.struct("*").alias("row"))
+    return keyed.join(bad, ["k1", "k2"], "left_anti").select("row.*")
 
 
 def contamination_sql(window: int = WINDOW) -> str:

@@ -122,13 +122,17 @@ def test_proximity(spark):
     assert got == brute_force
 
 
-def test_proximity_in_blocks(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "alpha x x beta y gamma"), (2, "beta alpha")], "doc_id long, text string")
+def test_index_in_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "alpha x x beta y gamma"), (2, " beta alpha"), (3, "x y")], "doc_id long, text string")
     asked = spark.createDataFrame([(f"q{k}", ("alpha beta", "gamma beta", "x y")[k % 3]) for k in range(9)], "query_id string, text string")
-    whole = rows(decontaminate.proximity_matches(docs, asked, 4), "doc_id", "query_id", "start")
-    assert len({q for _, q, _ in whole}) == 9
-    monkeypatch.setattr(decontaminate, "BLOCK_PHRASES", 2)
-    assert rows(decontaminate.proximity_matches(docs, asked, 4), "doc_id", "query_id", "start") == whole
+    items = asked.toDF("item_id", "text")
+    near, exact = (lambda: rows(decontaminate.proximity_matches(docs, asked, 4), "doc_id", "query_id", "start")), (lambda: rows(decontaminate.contamination(docs, items), "doc_id", "n_words", "n_hit", "items_sha256"))
+    whole = near(), exact()
+    assert len({q for _, q, _ in whole[0]}) == 9
+    known = [r["text"] for r in docs.orderBy("doc_id").collect()]
+    assert whole[1] == [(k + 1, c[0], c[1], c[3]) for k, c in enumerate(brute.contamination(known, [(r["item_id"], r["text"]) for r in items.collect()]))]
+    monkeypatch.setattr(decontaminate, "BROADCAST_TERMS", 2)
+    assert (near(), exact()) == whole
 
 
 def test_suffixes(nasty, empty):
