@@ -143,3 +143,46 @@ def lexicon_hits(text, lexicon, allowed, longest, reporting, reach=8):
             quoted = any(is_mark(i) for i in range(left, right)) or any(x in reporting for x in words[first : last + 1])
             out.append((min(near)[1], min(near)[0], quoted))
     return out
+
+
+def letters(text):
+    """Lower-cased letters of a text, with None for each run of other signs, as language models see it."""
+    out = []
+    for c in text:
+        x = c.lower()[0] if c.isalpha() else None
+        if x is not None or (out and out[-1] is not None):
+            out.append(x)
+    return out
+
+
+def kneser_ney(texts):
+    """p(x, a, b) of interpolated Kneser-Ney trigrams over the letters of texts: b follows x, a; and the symbols of all texts."""
+    tri = {}
+    for t in texts:
+        s = letters(t)
+        for i, x in enumerate(s):
+            key = (s[i - 2] if i > 1 else None, s[i - 1] if i > 0 else None, x)
+            tri[key] = tri.get(key, 0) + 1
+    bi, uni = {}, {}
+    for _, a, b in tri:
+        bi[a, b] = bi.get((a, b), 0) + 1
+    for _, b in bi:
+        uni[b] = uni.get(b, 0) + 1
+
+    def level(table):
+        n1, n2 = sum(c == 1 for c in table.values()), sum(c == 2 for c in table.values())
+        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        totals, kinds = {}, {}
+        for k, c in table.items():
+            totals[k[:-1]] = totals.get(k[:-1], 0) + c
+            kinds[k[:-1]] = kinds.get(k[:-1], 0) + 1
+
+        def p(key, below):
+            if key[:-1] not in totals:
+                return below
+            return (max(table.get(key, 0) - d, 0) + d * kinds[key[:-1]] * below) / totals[key[:-1]]
+
+        return p
+
+    p3, p2 = level(tri), level(bi)
+    return lambda x, a, b: p3((x, a, b), p2((a, b), 0.95 * uni.get(b, 0) / sum(uni.values()) + 0.05 / (len(uni) + 1)))

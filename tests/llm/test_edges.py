@@ -284,12 +284,40 @@ def test_language(spark, nasty, empty):
     assert {r["lang_pred"] for r in langid.identify(nasty, nothing, ["doc_id"]).collect()} == {"und"}
 
 
-def test_kneser_ney_sums_to_one():
+def test_kneser_ney_by_brute_force():
     rng = np.random.default_rng(8)
-    codes, counts = np.unique(rng.integers(0, 128**3, 5000) % (20 * 128 * 128 + 20 * 128 + 20), return_counts=True)
-    model = langid.KneserNey.fit(codes, counts.astype(float))
-    for context in (codes[0] // 128, codes[100] // 128, 12345):
-        assert abs(np.exp(model.log_p(context * 128 + np.arange(128))).sum() - 1) < 1e-6
+    bits = [*"abcdeefgh  .,1", "É", "ß", "İ", "Ж", "ж", "漢", "字", "\U00030010", "\u0301"]
+    texts = ["".join(str(rng.choice(bits)) for _ in range(int(rng.integers(0, 60)))) for _ in range(80)]
+    block = next(blocks(pa.array(texts)))
+    codes, counts = langid.trigrams(block.data, block.offsets)
+    assert np.diff(counts).tolist() == [len(brute.letters(t)) for t in texts]
+    seen, n = np.unique(codes, return_counts=True)
+    symbols = len(np.unique(codes & langid._SYMBOL))
+    model = langid.KneserNey.fit(seen, n.astype(float), symbols)
+    p = brute.kneser_ney(texts)
+    asked = np.r_[seen, rng.permutation(seen & langid._PAIR), rng.integers(97, 123, 50) << 42 | rng.integers(97, 123, 50) << 21 | rng.integers(97, 123, 50)]
+    sign = lambda c: chr(c) if c else None
+    for c, x in zip(asked.tolist(), model.log_p(asked).tolist(), strict=True):
+        assert abs(np.exp(x) - p(sign(c >> 42), sign(c >> 21 & langid._SYMBOL), sign(c & langid._SYMBOL))) < 1e-12
+    every = np.unique(seen & langid._SYMBOL)
+    for context in (seen[0] >> 21, seen[30] >> 21, 5 << 21 | 6):
+        assert abs(np.exp(model.log_p(context << 21 | every)).sum() + np.exp(model.log_p(np.array([context << 21 | 0x3FFFF])))[0] - 1) < 1e-9
+
+
+def test_languages_of_their_own_scripts_and_rejection(spark):
+    """Scripts share no symbols, letters from U+30000 on are letters, and texts unlike any of their language's are rejected."""
+    rng = np.random.default_rng(16)
+    parts = {"el": "αβγδεζηθ", "ru": "абвгдежз", "zh": "漢字大小上下中人", "en": "abcdefgh"}
+    prose = lambda lang, n: " ".join("".join(parts[lang][int(i)] for i in np.minimum(rng.geometric(0.4, int(rng.integers(2, 7))) - 1, 7)) for _ in range(n))
+    docs = [(lang, prose(lang, int(rng.integers(20, 200)))) for lang in parts for _ in range(300)]
+    models = langid.train(spark.createDataFrame(docs, "lang string, text string"))
+    assert models.languages == ["el", "en", "ru", "zh"]
+    fresh = [(lang, prose(lang, int(rng.integers(20, 200)))) for lang in parts for _ in range(100)]
+    langs, scores, accepted = models.score(pa.array([t for _, t in fresh]))
+    assert langs == [x for x, _ in fresh] and accepted.mean() > 0.99
+    junk = ["".join(str(rng.choice([*"qxzjvkwy"])) for _ in range(300)) for _ in range(20)]
+    assert not models.score(pa.array(junk))[2].any()
+    assert models.score(pa.array(["\U00030010", "1 2", ""]))[0][1:] == ["und", "und"] and models.score(pa.array(["\U00030010"]))[0][0] != "und"
 
 
 def test_toxicity(spark, nasty, empty):
