@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,12 @@ class Stored:
         path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of tables that nothing refers to any more; it does so when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Keys with very many rows that are broadcast at most, and rows below which a key isn't one of these.
 HOT_KEYS = 10_000
 HOT_ROWS = 1_000

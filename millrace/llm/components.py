@@ -2,7 +2,8 @@
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014).  Edges
 stay in DataFrames throughout; each round's edges are written to the shared
-checkpoint folder, so neither lineage nor the driver grows with the graph.  A
+checkpoint folder in place of those of the round before, so neither lineage, disk
+nor the driver grows with the rounds.  A
 vertex with very many neighbours is only ever aggregated with min(), which
 combines before the shuffle, and joined back by a broadcast of the few such
 vertices; its neighbours are never gathered, in a list or in a task.
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, join_totals
+from ._spark import Stored, cut, join_totals, let_go
 
 
 def _large_star(edges: DataFrame, size: int) -> DataFrame:
@@ -40,13 +41,18 @@ def connected_components(edges: DataFrame, source: str = "u", target: str = "v")
     Nulls and self-loops link nothing and are left out; repeated edges count once; without edges the result is empty.
     """
     edges = edges.select(F.col(source).alias("u"), F.col(target).alias("v")).where("u <> v")
-    edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = _state(edges)
+    held = Stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before = _state(held.rows)
     while before[0]:
-        edges = cut(_small_star(_large_star(edges, before[0]), before[0]))
-        after = _state(edges)
+        found = Stored(_small_star(_large_star(held.rows, before[0]), before[0]))
+        held.drop()
+        held = found
+        after = _state(held.rows)
         if after == before:
             break
         before = after
+    edges = cut(held.rows)
+    held.drop()
+    let_go(edges.sparkSession)
     roots = edges.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(roots)
