@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from millrace.operators import operations
 from millrace.operators.mapper import resolve
-from millrace.operators.status import ABORTED, ACTIVE, FAILED, SUCCESS
+from millrace.operators.splits import SHARDS
+from millrace.operators.status import ABORTED, ACTIVE, FAILED, SUCCESS, job_status
 from millrace.sources.shared import materialise
 
 RATE = 100
@@ -36,7 +37,9 @@ class JobSpec:
     job_params: dict = field(default_factory=dict)
     #: Tasks to deal the rows over; by default the source's own partitions, without a shuffle.
     shards: int | None = None
+    #: Rows a second over all shards, in force if the job is paced.
     rate: float = RATE
+    paced: bool = False
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
@@ -61,7 +64,10 @@ class JobSpec:
         for key, values in (("mapper_params_validator", params), ("params_validator", job)):
             if form.get(key):
                 resolve(form[key])(values)
-        return cls(form["name"], form["mapper_handler"], form["mapper_input_reader"], params, job, int(params["shard_count"]) if params.get("shard_count") else None, float(params.get("processing_rate", RATE)))
+        shards, rate = int(params["shard_count"]) if params.get("shard_count") else None, float(params.get("processing_rate", RATE))
+        # A job is paced if it names a rate, or asks for quota, and doesn't turn it off.
+        paced = str(params.get("enable_quota", "processing_rate" in params)).lower() in ("true", "1", "yes", "on")
+        return cls(form["name"], form["mapper_handler"], form["mapper_input_reader"], params, job, shards, rate, paced)
 
 
 class Hooks:
@@ -98,6 +104,8 @@ class Jobs:
         self._threads: dict[str, threading.Thread] = {}
 
     def validate(self, spec: JobSpec) -> None:
+        if spec.rate <= 0:
+            raise ValueError("rate: more than none")
         if spec.shards is not None and spec.shards < 1:
             raise ValueError("shards: at least one")
         if spec.source not in self.sources:
@@ -122,7 +130,8 @@ class Jobs:
                 self.hooks.on_start(job_id, spec)
                 if not state.abort:
                     self._work(state, rows)
-                state.status = ABORTED if state.abort else SUCCESS
+                states = [shard["status"] for shard in state.shards]
+                state.status = job_status(states, len(states), state.abort)
             except Exception as e:  # noqa: BLE001  a job's failure is its status
                 state.status, state.error = (ABORTED if state.abort else FAILED), str(e)[:1000]
             finally:
@@ -135,8 +144,10 @@ class Jobs:
         return job_id
 
     def _work(self, state: JobState, rows: DataFrame) -> None:
-        rows = rows.repartition(state.spec.shards) if state.spec.shards else rows
-        done = materialise(operations.run_handler(rows, state.spec.handler))
+        spec = state.spec
+        shards = spec.shards or (SHARDS if spec.paced else None)
+        rows = rows.repartition(shards) if shards else rows
+        done = materialise(operations.run_handler(rows, spec.handler, spec.params, spec.rate / shards if spec.paced else None))
         counts = done.where("op = 'increment'").groupBy("shard", "name").agg(F.sum("delta").alias("value"))
         per: dict[int, dict] = {}
         for r in counts.collect():  # one row for each shard and counter

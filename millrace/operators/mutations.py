@@ -46,12 +46,12 @@ def multi_get(wanted: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
     return wanted.join(base, keys, "left")
 
 
-def flush_number(order: Column | list[Column], limit: int, before: bool = True, partition: list[str] | None = None) -> Column:
+def flush_number(order: Column | list[Column], limit: int, before: bool, partition: list[str]) -> Column:
     """Flush in which a mutation is written: full pools flush before the next is added, or after the one that fills them.
 
-    Both give floor((n - 1) / limit); they differ in when a full pool is written, not in what is written together.
+    partition: what one pool gathers, a task's or a key's; a pool of all rows would be one task's. Both give floor((n - 1) / limit); they differ in when a full pool is written, not in what is written together.
     """
-    window = Window.partitionBy(*(partition or [F.lit(0)])).orderBy(*(order if isinstance(order, list) else [order]))
+    window = Window.partitionBy(*partition).orderBy(*(order if isinstance(order, list) else [order]))
     return F.floor((F.row_number().over(window) - 1) / limit).cast("long")
 
 

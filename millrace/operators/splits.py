@@ -68,34 +68,34 @@ def byte_splits(size: int, shards: int = 10) -> list[tuple[int, int]]:
     return [(i * chunk, size if i == n - 1 else (i + 1) * chunk) for i in range(n)]
 
 
-def pack_members(sizes: Sequence[int], shards: int) -> list[tuple[int, int]]:
-    """Consecutive members packed until a shard holds its share of the bytes."""
-    target = sum(sizes) // min(MOST_SHARDS, shards)
+def pack_to(sizes: Sequence[int], target: int) -> tuple[list[tuple[int, int]], int]:
+    """Consecutive members (first, end) packed until a shard holds target bytes, and the bytes of those left over."""
     cuts, held = [0], 0
     for i, size in enumerate(sizes):
         held += size
         if held >= target:
             cuts.append(i + 1)
             held = 0
-    if cuts[-1] != len(sizes):
-        cuts.append(len(sizes))
-    return list(zip(cuts, cuts[1:], strict=False))
+    return list(zip(cuts, cuts[1:], strict=False)), held
+
+
+def pack_members(sizes: Sequence[int], shards: int) -> list[tuple[int, int]]:
+    """Consecutive members packed until a shard holds its share of the bytes."""
+    found, _ = pack_to(sizes, sum(sizes) // min(MOST_SHARDS, shards))
+    end = found[-1][1] if found else 0
+    return [*found, (end, len(sizes))] if end != len(sizes) else found
+
+
+def pack_archive(sizes: Sequence[int], target: int) -> list[tuple[int, int]]:
+    """One archive's share of pack_archives: members left over make a shard of their own if they have bytes."""
+    found, held = pack_to(sizes, target)
+    return [*found, (found[-1][1] if found else 0, len(sizes))] if held else found
 
 
 def pack_archives(archives: dict[str, Sequence[int]], shards: int) -> list[tuple[str, int, int]]:
     """As pack_members over several archives, with one target for all; no shard crosses an archive."""
     target = sum(map(sum, archives.values())) // min(MOST_SHARDS, shards)
-    out = []
-    for name, sizes in archives.items():
-        first = held = 0
-        for i, size in enumerate(sizes):
-            held += size
-            if held >= target:
-                out.append((name, first, i + 1))
-                first, held = i + 1, 0
-        if held:
-            out.append((name, first, len(sizes)))
-    return out
+    return [(name, a, b) for name, sizes in archives.items() for a, b in pack_archive(sizes, target)]
 
 
 def number_ranges(start: int, end: int, shards: int) -> list[tuple[int, int]]:
@@ -112,10 +112,22 @@ def number_bounds(start: Column, end: Column, shards: Column, i: Column) -> Colu
     return F.when(i == shards, end).otherwise(start + F.floor(i * ((end - start) / shards.cast("double")) + 0.5))
 
 
+def byte_bounds(size: Column, shards: int) -> Column:
+    """Array of (i, chunk_start, chunk_end): the byte_ranges of a blob of size bytes as a Column."""
+    chunk = F.floor(size / shards).cast("long")
+    piece = lambda i: F.struct(i.alias("i"), (i * chunk).alias("chunk_start"), F.when(i == shards - 1, size).otherwise((i + 1) * chunk).alias("chunk_end"))
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")), piece)
+
+
 def round_robin(number: Column, shards: int) -> Column:
     return F.pmod(number, F.lit(shards))
 
 
+def deal_ranges(ranges: Sequence[tuple], shards: int) -> list[list[tuple]]:
+    """Ranges of all namespaces, in their order, dealt to shards in turn; shards that get none are left out."""
+    return [dealt for k in range(shards) if (dealt := list(ranges[k::shards]))]
+
+
 def reduce_ranges(job: str, low: str, high: str, shards: int) -> list[tuple[str, str]]:
     """Bounds of the raw keys that each reduce shard reads; equal bounds of the key space give one split that reads all."""
     cuts = split_strings(low, high, shards - 1) if low != high else []

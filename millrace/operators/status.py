@@ -30,6 +30,17 @@ def roll_up(shards: DataFrame, job: str, state: str, expected: str, abort: str)
     return out.withColumn("status", status).drop("__expected", "__abort")
 
 
+def job_status(states: list[str], expected: int, abort: bool = False) -> str:
+    """The status that roll_up gives a job whose shards have these states."""
+    if len(states) != expected:
+        return FAILED
+    if ACTIVE in states:
+        return ACTIVE
+    if abort:
+        return ABORTED
+    return SUCCESS if all(x == SUCCESS for x in states) else FAILED
+
+
 def roll_up_strict(shards: DataFrame, job: str, state: str) -> DataFrame:
     """The other rule: any failed shard is the job's error, else it is done when none is active; finished jobs keep no shard rows."""
     out = _counts(shards, job, state)

@@ -78,14 +78,7 @@ def split_zip_lines(s: SparkSession, d: str) -> DataFrame:
     def pack(t: pa.Table) -> pa.Table:
         t = t.sort_by("file_index")
         key, sizes, target = t.column("blob_key")[0].as_py(), t.column("file_size").to_pylist(), t.column("total")[0].as_py() // 64
-        out, first, held = [], 0, 0
-        for i, size in enumerate(sizes):
-            held += size
-            if held >= target:
-                out.append((first, i + 1))
-                first, held = i + 1, 0
-        if held:
-            out.append((first, len(sizes)))
+        out = splits.pack_archive(sizes, target)
         return pa.table({"blob_key": pa.array([key] * len(out), pa.string()), "first_file": pa.array([a for a, _ in out], pa.int32()), "end_file": pa.array([b for _, b in out], pa.int32())})
 
     return members.crossJoin(F.broadcast(total)).groupBy("blob_key").applyInArrow(pack, "blob_key string, first_file int, end_file int")

@@ -9,8 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import counters, mutations
+from millrace.operators import context, counters, mutations, operations
 from millrace.operators.mapper import Mapper, run_mapper
+from millrace.sources import pools
+from millrace.sources.shared import shared_dir
 from millrace.sources.tables import table
 
 
@@ -119,6 +121,44 @@ def op_last_wins(s: SparkSession, d: str) -> DataFrame:
     return mutations.apply_pool(table(s, d, "customer"), _ops(s, d), ["c_custkey"], ordered=True)
 
 
+def pool_sink(s: SparkSession, d: str) -> DataFrame:
+    """op_put_delete with its operations written through pools into a sink of mutations, and read from there."""
+    ops = _ops(s, d)
+    columns = [c for c in ops.columns if c not in ("op", "seq")]
+    path = shared_dir(s)
+    pools.write_mutations(ops.select("op", "seq", F.to_json(F.struct("c_custkey")).alias("key"), F.to_json(F.struct(*columns)).alias("payload")), path, count=100)
+    row = F.from_json("payload", ops.select(*columns).schema)
+    return mutations.apply_pool(table(s, d, "customer"), pools.read_mutations(s, path).select("op", "seq", row.alias("r")).select("op", "seq", "r.*"), ["c_custkey"])
+
+
+class _Kinds:
+    """A pool of a handler's own: amounts by kind, given out as counters when it is flushed."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, int] = {}
+
+    def add(self, kind: str, amount: int) -> None:
+        self.held[kind] = self.held.get(kind, 0) + amount
+
+    def flush(self) -> list[operations.Increment]:
+        out, self.held = [operations.Increment(f"user.{k}", n) for k, n in self.held.items()], {}
+        return out
+
+
+def _count_event(row: dict) -> None:
+    """Counts by the context of its task, and in a pool that it registers there."""
+    task = context.current()
+    if task.pool("kinds") is None:
+        task.register("kinds", _Kinds())
+    task.increment(f"event.{row['event_type']}")
+    task.pool("kinds").add(task.params["prefix"] + row["event_type"], row["user_id"])
+
+
+def handler_context(s: SparkSession, d: str) -> DataFrame:
+    done = operations.run_handler(table(s, d, "events").select("event_type", "user_id"), _count_event, {"prefix": "of "})
+    return operations.counters(done)
+
+
 def pool_batches(s: SparkSession, d: str) -> DataFrame:
     """Flushes of each customer's orders, ten at a time, by both rules; the figure of a flush is the same in both."""
     each = table(s, d, "orders").select("o_custkey", "o_orderkey", mutations.flush_number(F.col("o_orderkey"), 10, True, ["o_custkey"]).alias("before"), mutations.flush_number(F.col("o_orderkey"), 4, False, ["o_custkey"]).alias("after"))
@@ -140,7 +180,7 @@ def multi_get(s: SparkSession, d: str) -> DataFrame:
     return mutations.multi_get(wanted, table(s, d, "customer").select("c_custkey", "c_name"), ["c_custkey"])
 
 
-QUERIES = {f.__name__: f for f in (map_lower, map_upper, flat_map_ops, mapper_lifecycle, counters_by_name, counters_by_group, counters_skub, counters_add_sub, job_counters, processed_per_shard, op_put, op_delete, op_put_delete, op_last_wins, pool_batches, delete_all_in_range, put_if_absent, multi_get)}
+QUERIES = {f.__name__: f for f in (map_lower, map_upper, flat_map_ops, mapper_lifecycle, counters_by_name, counters_by_group, counters_skub, counters_add_sub, job_counters, processed_per_shard, op_put, op_delete, op_put_delete, op_last_wins, pool_sink, handler_context, pool_batches, delete_all_in_range, put_if_absent, multi_get)}
 
 _PUTS = """puts AS (SELECT o_custkey * 2 AS c_custkey, 'order ' || CAST(max(o_orderkey) AS VARCHAR) AS c_name, 0 AS c_nationkey, arg_max(o_totalprice, o_orderkey) AS c_acctbal, arg_max(o_orderstatus, o_orderkey) AS c_mktsegment FROM orders GROUP BY 1),
     dels AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0),
@@ -161,6 +201,9 @@ ORACLE = {
     "op_put": f"WITH {_PUTS} SELECT * FROM put",
     "op_delete": f"WITH {_PUTS} SELECT * FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM dels)",
     "op_put_delete": f"WITH {_PUTS} SELECT * FROM put WHERE c_custkey NOT IN (SELECT c_custkey FROM dels)",
+    "pool_sink": f"WITH {_PUTS} SELECT * FROM put WHERE c_custkey NOT IN (SELECT c_custkey FROM dels)",
+    "handler_context": """SELECT 'mapper_calls' AS name, count(*) AS value FROM events UNION ALL SELECT 'event.' || event_type, count(*) FROM events GROUP BY 1
+        UNION ALL SELECT 'user.of ' || event_type, CAST(sum(user_id) AS BIGINT) FROM events GROUP BY 1""",
     "op_last_wins": f"WITH {_PUTS} SELECT * FROM put WHERE c_custkey NOT IN (SELECT c_custkey FROM dels WHERE c_custkey NOT IN (SELECT c_custkey FROM puts))",
     "pool_batches": 'SELECT o_custkey, o_orderkey, (row_number() OVER w - 1) // 10 AS "before", (row_number() OVER w - 1) // 4 AS "after" FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)',
     "delete_all_in_range": "SELECT o_orderkey, o_custkey FROM orders WHERE NOT (o_orderkey >= 1000 AND o_orderkey < 5000)",

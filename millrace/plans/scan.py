@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions.keyspace import KeyRange
 from millrace.operators import splits
 from millrace.sources.ranges import numbers
-from millrace.sources.tables import table
+from millrace.sources.tables import consistent_keys, table
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -64,9 +64,7 @@ _T0, _START = 300, 700
 def ds_scan_consistent(s: SparkSession, d: str) -> DataFrame:
     """Keys of a base table with all writes logged before a start time rolled forward."""
     events = table(s, d, "events").select("event_id", "user_id")
-    base = events.where(F.col("event_id") < _T0).select("user_id")
-    log = events.where((F.col("event_id") >= _T0) & (F.col("event_id") < _START)).select("user_id")
-    return base.unionByName(log).distinct()
+    return consistent_keys(events.where(F.col("event_id") < _T0).select("user_id"), events.where(F.col("event_id") >= _T0), "user_id", "event_id", _START)
 
 
 def ds_min_key(s: SparkSession, d: str) -> DataFrame:
@@ -94,9 +92,15 @@ def split_scatter_java(s: SparkSession, d: str) -> DataFrame:
 
 
 def split_round_robin(s: SparkSession, d: str) -> DataFrame:
-    """Ranges of a hundred events dealt to eight shards; the rows of each shard."""
-    number = F.floor(F.col("event_id") / 100).cast("long")
-    return table(s, d, "events").groupBy(splits.round_robin(number, 8).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    """Ranges of a hundred events dealt to eight shards, of which empty ones don't exist; the rows of each shard."""
+    events = table(s, d, "events").select("event_id")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    ranges = [] if low is None else [(a, a + 100) for a in range(low // 100 * 100, high + 1, 100)]
+    first = low // 100 if low is not None else 0
+    dealt = splits.deal_ranges(ranges, 8)
+    bounds = s.createDataFrame([((first + k) % 8, a, b) for k, part in enumerate(dealt) for a, b in part], "shard long, a long, b long")
+    held = events.join(F.broadcast(bounds), F.floor(F.col("event_id") / 100) * 100 == F.col("a"))
+    return held.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
 
 
 _RANGES = [(0, 4, 2), (0, 3, 2), (0, 5, 5), (0, 5, 10), (0, 1, 3), (10, 1000, 7), (2147483651, 2147483655, 2)]
@@ -110,10 +114,8 @@ def split_range(s: SparkSession, d: str) -> DataFrame:
 
 def split_bytes(s: SparkSession, d: str) -> DataFrame:
     """Four chunks of each document's bytes."""
-    size = F.octet_length("text").cast("long")
-    chunk = F.floor(F.col("size") / 4).cast("long")
-    each = table(s, d, "documents").select("doc_id", size.alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("i"))
-    return each.select("doc_id", "i", (F.col("i") * chunk).alias("chunk_start"), F.when(F.col("i") == 3, F.col("size")).otherwise((F.col("i") + 1) * chunk).alias("chunk_end"))
+    each = table(s, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size"))
+    return each.select("doc_id", F.inline(splits.byte_bounds(F.col("size"), 4)))
 
 
 def range_scan(s: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def validate(params: dict, known: Callable[[str], bool] = lambda kind: True, keys: bool = False) -> dict:
@@ -32,3 +33,8 @@ def validate(params: dict, known: Callable[[str], bool] = lambda kind: True, key
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table called name; column pruning and filters reach the Parquet scan."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def consistent_keys(base: DataFrame, log: DataFrame, key: str, at: str, start: object) -> DataFrame:
+    """Keys of base with those of writes that were logged before start, and may not be in base yet, rolled forward; each once."""
+    return base.select(key).unionByName(log.where(F.col(at) < start).select(key)).distinct()

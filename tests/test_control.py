@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import config, mutations, operations
+from millrace.operators import config, context, mutations, operations, status
 from millrace.operators.jobs import Hooks, Jobs, JobSpec
 from millrace.operators.mapper import resolve, yields
 from millrace.operators.operations import Delete, Increment, Put
@@ -239,3 +239,84 @@ def test_status_of_ordered_and_repeated_mutations(spark):
     once = mutations.apply_pool(base, ops, ["k"])
     assert rows(mutations.apply_pool(once, ops, ["k"])) == rows(once)
     assert rows(mutations.put(base, ops.where(F.lit(False)).select("k", "v"), ["k"])) == [(1, "a"), (2, "b")]
+
+
+def test_pace():
+    now = [0.0]
+    pace = operations.Pace(10, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s))
+    at = []
+    for _ in range(35):
+        pace.take()
+        at.append(now[0])
+    assert all(n <= 10 * t + 1.001 for n, t in enumerate(at, 1)) and 3.3 <= at[-1] <= 3.6
+    with pytest.raises(ValueError):
+        operations.Pace(0)
+
+
+def test_paced_job(spark):
+    rows = {"numbers": lambda s, p: s.range(0, 60, 1, 2)}
+    jobs = Jobs(spark, rows)
+    form = {"name": "n", "mapper_input_reader": "numbers", "mapper_handler": "tests.test_control.slow_count", "mapper_params.shard_count": "2"}
+    for more, least, most in (({"mapper_params.processing_rate": "30"}, 1.8, 30), ({"mapper_params.processing_rate": "1", "mapper_params.enable_quota": "false"}, 0, 30)):
+        spec = JobSpec.from_form(form | more)
+        began = time.time()
+        job = jobs.start(spec)
+        assert jobs.wait(job, 60) == status.SUCCESS and jobs.detail(job)["counters"]["seen"] == 60
+        assert least <= time.time() - began <= most
+    with pytest.raises(ValueError):
+        jobs.start(JobSpec("n", "tests.test_control.slow_count", "numbers", rate=0))
+
+
+def slow_count(row):
+    context.current().increment("seen")
+    context.current().status = f"at {row['id']}"
+
+
+def test_status_rules_agree(spark):
+    cases = [(states, expected, abort) for states in (["success"], ["active", "failed"], ["success", "failed"], ["aborted", "success"]) for expected in (1, 2) for abort in (True, False)]
+    rows = [(k, s, e, a) for k, (states, e, a) in enumerate(cases) for s in states]
+    got = {r["job"]: r["status"] for r in status.roll_up(spark.createDataFrame(rows, "job int, state string, expected int, abort boolean"), "job", "state", "expected", "abort").collect()}
+    assert got == {k: status.job_status(*case) for k, case in enumerate(cases)}
+
+
+def test_context():
+    class Kept:
+        def __init__(self):
+            self.held = []
+
+        def flush(self):
+            out, self.held = self.held, []
+            return out
+
+    assert context.current() is None
+    with context.Context(3, attempt=2, params={"a": 1}) as task:
+        assert context.current() is task and task.params == {"a": 1} and task.mutations.count == 125
+        assert task.pool("mutations") is task.mutations and task.pool("other") is None
+        kept = Kept()
+        task.register("kept", kept)
+        kept.held.append("x")
+        task.mutations.put("p")
+        task.mutations.delete("d")
+        task.increment("n")
+        task.increment("n", 4)
+        assert task.flush() == ["p", "d", "x"] and task.flush() == [] and task.counters == {"n": 5}
+    assert context.current() is None
+
+
+def test_sink_of_mutations(spark, tmp_path):
+    from millrace.sources import pools
+
+    path = str(tmp_path / "m")
+    ops = spark.range(0, 250, 1, 2).select(F.when(F.col("id") % 5 == 0, "delete").otherwise("put").alias("op"), F.col("id").alias("seq"), F.col("id").cast("string").alias("key"), F.lit("{}").alias("payload"))
+    pools.write_mutations(ops, path, count=10)
+    pools.write_mutations(ops.where("seq < 3"), path)
+    bad = ops.withColumn("op", F.when(F.col("seq") == 200, "neither").otherwise(F.col("op")))
+    with pytest.raises(Exception, match="neither"):
+        pools.write_mutations(bad, path)
+    got = pools.read_mutations(spark, path).collect()
+    assert sorted(r["seq"] for r in got) == sorted([*range(250), 0, 1, 2])
+    assert sorted((m["flushes"], m["rows"]) for m in pools.manifests(path)) in ([(1, 3), (26, 250)], [(2, 3), (26, 250)])
+    for flush in range(12):
+        for rows in [[r for r in got if r["flush"] == flush and (r["seq"] < 125) == low and r["seq"] > 2] for low in (True, False)]:
+            assert len(rows) <= 10
+    assert pools.read_mutations(spark, str(tmp_path / "none")).count() == 0
