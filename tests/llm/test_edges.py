@@ -502,15 +502,33 @@ def test_urls(spark):
     assert urls.judge_urls(pages.limit(0)).count() == 0
 
 
-def test_pipeline_stages(spark, nasty, empty, folder):
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, nasty, folder)
+def test_pipeline_stages(spark, nasty, empty, folder, tokenizer):
+    """Each stage on the same awkward rows, against brute force; the first one by the operator's own verdicts."""
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, folder).count() == 0, name
+    stages, known = dict(corpus_pipeline.STAGES), texts(nasty)
+
+    def result(name):
+        out = stages[name](spark, nasty, folder)
         assert out.columns == nasty.columns, name
-        assert {r[0] for r in out.select("key").collect()} <= {"key"}
-        assert out.count() <= nasty.count()
-        assert stage(spark, empty, folder).count() == 0
-    name, stage = corpus_pipeline.STAGES[-1]
-    assert stage(spark, nasty, folder).count() == nasty.count() and stage(spark, empty, folder).count() == 0
+        found = out.select("doc_id", "text", "n_chars", "key").collect()
+        assert {r["key"] for r in found} <= {"key"}
+        return sorted(((r["doc_id"], r["text"]) for r in found), key=repr), found
+
+    verdicts = langid.identify(nasty, langid.train(nasty), ["doc_id", "text"]).where("accepted")
+    assert result("language")[0] == rows(verdicts, "doc_id", "text")
+    assert stages["language"](spark, nasty.withColumn("lang", F.lit(None).cast("string")), folder).count() == 0
+    ids = [i if i is not None else 1 << 60 for i, _ in known]
+    groups = brute.near_duplicates(ids, [t for _, t in known], 5)
+    first = {d for d, i, g in zip(known, ids, groups, strict=True) if g[0] and g[1] == i}
+    assert result("near_duplicates")[0] == sorted([*first, *(d for d, g in zip(known, groups, strict=True) if not g[0])], key=repr)
+    left = [(i, r[3].decode("utf-8", "ignore")) for (i, _), r in zip(known, brute.repeats([t for _, t in known]), strict=True)]
+    kept, found = result("repeats")
+    assert kept == sorted(left, key=repr) and all(r["n_chars"] == len(r["text"]) for r in found)
+    items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text").collect()]
+    clean = [d for d, c in zip(known, brute.contamination([t for _, t in known], items), strict=True) if not c[4]]
+    assert result("contamination")[0] == sorted(clean, key=repr)
+    assert rows(stages["encode"](spark, nasty, folder), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == expect(nasty, lambda t: brute.encoded(tokenizer, t))
 
 
 def test_anchors_with_many_contexts(spark, monkeypatch):
