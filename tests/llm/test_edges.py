@@ -320,6 +320,62 @@ def test_languages_of_their_own_scripts_and_rejection(spark):
     assert models.score(pa.array(["\U00030010", "1 2", ""]))[0][1:] == ["und", "und"] and models.score(pa.array(["\U00030010"]))[0][0] != "und"
 
 
+def test_language_models_are_whole(spark, monkeypatch):
+    """Languages and trigrams beyond one pass take more passes; nothing is left out, whatever a pass holds."""
+    rng = np.random.default_rng(21)
+    letters = {"de": "abcdßä", "en": "abcdef", "zh": "漢字大小上下"}
+    prose = lambda lang, n: " ".join("".join(letters[lang][int(i)] for i in np.minimum(rng.geometric(0.3, int(rng.integers(1, 7))) - 1, 5)) for _ in range(n))
+    docs = [(lang, prose(lang, int(rng.integers(5, 60)))) for lang in letters for _ in range(250 if lang == "en" else 40)]
+    # A language that only calibrates: repeated rows are in one fold.
+    folds = spark.createDataFrame([(f"abc {k}abcd",) for k in range(60)], "text string").select("text", F.pmod(F.xxhash64("text"), F.lit(langid.FOLDS)).alias("f"))
+    docs += [("one", r["text"]) for r in folds.where("f = 0").collect()]
+    table = spark.createDataFrame(docs, "lang string, text string").repartition(3).cache()
+    fresh = spark.createDataFrame([(prose(lang, n),) for lang in letters for n in (1, 3, 30, 200)] + [("zzyx 漢a",), ("",), (None,)], "text string").repartition(2).cache()
+    of = [r["text"] for r in fresh.collect()]
+
+    def run():
+        models = langid.train(table)
+        found = langid.identify(fresh, models, ["text"])
+        return models, models.score(pa.array(of, pa.string())), sorted(map(tuple, found.collect()), key=repr)
+
+    models, (langs, scores, accepted), rows_ = run()
+    assert len(models.passes) == 1 and models.languages == ["de", "en", "one", "zh"]
+    for trigrams, languages in ((1 << 21, 2), (40, 128)):
+        monkeypatch.setattr(langid, "PASS_TRIGRAMS", trigrams)
+        monkeypatch.setattr(langid, "PASS_LANGUAGES", languages)
+        more, (langs2, scores2, accepted2), rows2 = run()
+        assert len(more.passes) > 1 and more.languages == models.languages
+        assert np.allclose(more.limits, models.limits, atol=1e-9)
+        assert langs2 == langs and np.allclose(scores2, scores) and (accepted2 == accepted).all()
+        assert [r[:2] + r[3:] for r in rows2] == [r[:2] + r[3:] for r in rows_]
+    assert max(p.value.models[0].tri.size for p in more.passes) <= 80 and max(p.value.share.of for p in more.passes if p.value.share) > 1
+    # Each distinct trigram is in one share.
+    for k, lang in enumerate(models.languages):
+        held = sum(p.value.models[0].tri.size for p in more.passes if p.value.first == k) or next(p.value.models[k - p.value.first].tri.size for p in more.passes if p.value.first <= k < p.value.first + len(p.value.models))
+        seen = set()
+        for x, t in docs:
+            signs = [None, None, *brute.letters(t)] if x == lang else []
+            seen |= set(zip(signs, signs[1:], signs[2:], strict=False))
+        assert held == len(seen)
+
+
+def test_language_of_many_trigrams(spark):
+    """More than a million trigrams, hardly one of them twice: only who knows them all tells the two languages apart."""
+    rng = np.random.default_rng(4)
+    some = {lang: ["".join(map(chr, rng.integers(0x4E00, 0x4E00 + 2000, 2000).tolist())) for _ in range(n)] for lang, n in (("many", 600), ("less", 450))}
+    models = langid.train(spark.createDataFrame([(lang, t) for lang, texts in some.items() for t in texts], "lang string, text string").repartition(4))
+    pieces = [(lang, t[40:140]) for lang, texts in some.items() for t in texts[:50]]
+    assert models.score(pa.array([t for _, t in pieces]))[0] == [lang for lang, _ in pieces]
+
+
+def test_any_number_of_languages(spark):
+    docs = spark.createDataFrame([(f"l{k:03d}", f"{chr(0x4E00 + k)}{chr(0x5E00 + k)} {chr(0x4E00 + k)}") for k in range(600)], "lang string, text string")
+    models = langid.train(docs)
+    assert len(models.languages) == 600
+    out = langid.identify(docs, models, ["lang"]).where("lang = lang_pred")
+    assert out.count() == 600
+
+
 def test_toxicity(spark, nasty, empty):
     clean = [f"people said number {k} was a nice and pleasant evening in the garden" for k in range(60)]
     toxic = [f"you number {k} are a worthless scoundrel and everybody knows about it" for k in range(30)]
