@@ -21,7 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose language is recognized, by models of the documents' own labels; lang stays as it was.
 
     Texts that are null or have no letter go, and so do those that no model accepts; where no row has a lang there is no model,
-    and every row goes.  Repeated rows share one verdict; of equally likely languages the alphabetically first is taken.
+    and every row goes.  Repeated rows share one verdict; of equally likely languages the alphabetically first is taken.  There may
+    be any number of languages, with any number of trigrams.
     """
     return langid.recognized(docs, langid.train(docs))
 

@@ -298,9 +298,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, id_col
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, width: int = 5, threshold: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = 5, threshold: int = 80, id_column: str = "doc_id", text_column: str = "text", exact: bool = False) -> DataFrame:
     """One row of docs for each group of near_duplicates, that of the least id, with all columns; rows without words all stay."""
-    groups = _groups(docs, width, threshold, id_column, text_column, False)
+    groups = _groups(docs, width, threshold, id_column, text_column, exact)
     stay = groups.where("k1 = first.k1 AND k2 = first.k2").groupBy("k1", "k2").agg(F.max(F.col("n") > 0).alias("__words"))
     found = docs.select(*document_key(F.col(id_column), _text(text_column)), F.struct("*").alias("row")).join(stay, ["k1", "k2"])
     return found.where("__words").dropDuplicates(["k1", "k2"]).union(found.where("NOT __words")).select("row.*")

@@ -587,6 +587,25 @@ def test_pipeline_stages(spark, nasty, empty, folder, tokenizer):
     assert rows(stages["encode"](spark, nasty, folder), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == expect(nasty, lambda t: brute.encoded(tokenizer, t))
 
 
+def test_pipeline_stages_have_no_caps(spark, nasty, folder, monkeypatch):
+    """As many languages as there are, in several passes, and awkward rows and columns between these."""
+    many = spark.createDataFrame([(k, f"{chr(0x4E00 + k)}{chr(0x5E00 + k)} {chr(0x4E00 + k)}", f"l{k:03d}", "x") for k in range(600)], "doc_id long, text string, lang string, state string")
+    known = rows(corpus_pipeline.language(spark, nasty, folder), *nasty.columns)
+    assert rows(corpus_pipeline.language(spark, many, folder), *many.columns) == rows(many, *many.columns)
+    monkeypatch.setattr(langid, "PASS_LANGUAGES", 1)
+    again = corpus_pipeline.language(spark, nasty, folder)
+    assert again.columns == nasty.columns and rows(again, *nasty.columns) == known
+
+
+def test_exact_deduplication(spark, monkeypatch):
+    """Where hardly any pair shares a band, exact still finds what is linked."""
+    prose = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, prose), (2, prose + " and so to the end"), (3, "other words than these here")], "doc_id long, text string")
+    monkeypatch.setattr(neardup, "band_rows", lambda threshold: neardup.REGISTERS)
+    assert [i for (i,) in rows(neardup.deduplicate(docs), "doc_id")] == [1, 2, 3]
+    assert [i for (i,) in rows(neardup.deduplicate(docs, exact=True), "doc_id")] == [1, 3]
+
+
 def test_anchors_with_many_contexts(spark, monkeypatch):
     rng = np.random.default_rng(11)
     word = lambda n: "".join(rng.choice([*"abcdefgh "], n))
