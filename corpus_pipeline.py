@@ -7,16 +7,30 @@ called, and all but the last return them as they were; of an empty table each ma
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontaminate, langid, neardup, suffixes
-from millrace.llm._spark import let_go, shared_dir
+from millrace.llm._spark import let_go, settle, shared_dir
 from millrace.llm.queries import word_bpe
 
 
+def settled(stage: Callable) -> Callable:
+    """stage, begun on executors that have given back what the one before made them hold."""
+
+    @functools.wraps(stage)
+    def begin(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+        settle(spark)
+        return stage(spark, docs, folder)
+
+    return begin
+
+
+@settled
 def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose language is recognized, by models of the documents' own labels; lang stays as it was.
 
@@ -27,6 +41,7 @@ def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return langid.recognized(docs, langid.train(docs))
 
 
+@settled
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near-duplicates: shingles of five words, similarity 0.8.
 
@@ -36,6 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
     return neardup.deduplicate(docs, width=5, threshold=80)
 
 
+@settled
 def repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """All documents, without the passages of 200 bytes or more that occur elsewhere too; n_chars counts what is left.
 
@@ -48,6 +64,7 @@ def repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return cut.select(*[kept.get(c, F.col(at[c])).alias(c) for c in docs.columns])
 
 
+@settled
 def contamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that share less than a twentieth of their words with windows of benchmark items.
 
@@ -57,6 +74,7 @@ def contamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
+@settled
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token ids of every document, and the digests of ids and decoded text: doc_id, n_tokens, ids_sha256, decoded_sha256, ids.
 

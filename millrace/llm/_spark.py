@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._text import tidied
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and all run in one process."""
@@ -27,6 +29,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows that a file of a stored table has at least, where their number is known.
+FILE_ROWS = 25_000
+
+
+def gathered(df: DataFrame, most: int) -> DataFrame:
+    """df, of at most so many rows, in no more partitions than FILE_ROWS calls for, to be stored.
+
+    Every partition is a file, and for each file and folder Hadoop starts processes that set its mode, unless it has its native
+    library: a small table dealt over hundreds of partitions costs thousands of them.
+    """
+    return df.coalesce(max(1, -(-most // FILE_ROWS)))
+
+
 class Stored:
     """A table written in the shared folder: as safe from lost executors as cut() makes it, narrower on disk, and read by column."""
 
@@ -48,6 +63,17 @@ def let_go(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def settle(spark: SparkSession) -> None:
+    """Have executors give back what they no longer need: what operators keep in Python workers, and the JVM's free heap.
+
+    A JVM's heap stays as large as its largest task made it, and would add to what workers hold in the next stage.  The tasks, one
+    for each core, change nothing but memory; an executor that gets none of them keeps what it has.
+    """
+    n = spark.sparkContext.defaultParallelism
+    each = spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("x"))
+    each.mapInArrow(tidied(lambda batches: batches), "x string").collect()
+
+
 #: Keys with very many rows that are broadcast at most, and rows below which a key isn't one of these.
 HOT_KEYS = 10_000
 HOT_ROWS = 1_000

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import Stored, cut, join_totals, let_go
+from ._spark import Stored, cut, gathered, join_totals, let_go
 
 
 def _large_star(edges: DataFrame, size: int) -> DataFrame:
@@ -35,16 +35,18 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def connected_components(edges: DataFrame, source: str = "u", target: str = "v") -> DataFrame:
-    """(vertex, component) for every vertex of an edge, component being the least vertex reachable.
+def connected_components(edges: DataFrame, source: str = "u", target: str = "v", most: int | None = None) -> DataFrame:
+    """(vertex, component) for every vertex of an edge, component being the least vertex reachable; most: a bound of edges' rows, if known.
 
     Nulls and self-loops link nothing and are left out; repeated edges count once; without edges the result is empty.
     """
     edges = edges.select(F.col(source).alias("u"), F.col(target).alias("v")).where("u <> v")
-    held = Stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    first = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    held = Stored(first if most is None else gathered(first, most))
     before = _state(held.rows)
     while before[0]:
-        found = Stored(_small_star(_large_star(held.rows, before[0]), before[0]))
+        # A round never makes more edges than there were.
+        found = Stored(gathered(_small_star(_large_star(held.rows, before[0]), before[0]), before[0]))
         held.drop()
         held = found
         after = _state(held.rows)

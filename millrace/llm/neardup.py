@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import cut, document_key, join_totals
+from ._spark import cut, document_key, gathered, join_totals
 from ._text import blocks, mix, prefix_hash, release, rows_of, sort_by_document, span_hash, tidied, window_starts, word_spans
 from .components import connected_components
 
@@ -225,9 +225,12 @@ def _parts(members: DataFrame, name: str) -> DataFrame:
     return members.join(counts, "cluster").withColumn(name, F.pmod(F.xxhash64("fp", F.lit(7)), F.col(f"{name}s")).cast("int"))
 
 
-def _links(members: DataFrame, texts: DataFrame, width: int, threshold: int, exact: bool) -> DataFrame:
-    """Verified links (u, v) that join what belongs together in each cluster of members (cluster, fp, k1, k2, n, sig); texts: k1, k2, text."""
-    members = cut(_parts(members, "part"))
+def _links(members: DataFrame, size: int, texts: DataFrame, width: int, threshold: int, exact: bool) -> DataFrame:
+    """Verified links (u, v) that join what belongs together in each cluster of members (cluster, fp, k1, k2, n, sig).
+
+    size: how many members there are at most; texts: k1, k2, text.
+    """
+    members = cut(gathered(_parts(members, "part"), size))
     columns, side, zero = ["k1", "k2", "cluster", "fp", "sig"], F.lit(0).alias("side"), F.lit(0).alias("b")
     with_text = lambda rows: texts.join(rows, ["k1", "k2"]).dropDuplicates(["k1", "k2", "a", "b", "side"])
     large = members.where("parts > 1")
@@ -243,7 +246,7 @@ def _links(members: DataFrame, texts: DataFrame, width: int, threshold: int, exa
     joined = found.groupBy("u").agg(F.max("hub").alias("hub"), F.min("v").alias("v"))
     apart = F.when(F.col("hub"), F.col("cluster")).otherwise(F.col("v")).alias("root")
     rooted = large.join(joined, F.col("fp") == F.col("u")).select("cluster", "fp", "k1", "k2", "n", "sig", "part", "parts", "hub", apart)
-    rest = cut(_parts(rooted.where("NOT hub"), "rest"))
+    rest = cut(gathered(_parts(rooted.where("NOT hub"), "rest"), size))
     if rest.isEmpty():
         return links
     counts = rest.select("cluster", "rests").distinct()
@@ -266,16 +269,17 @@ def _groups(docs: DataFrame, width: int, threshold: int, id_column: str, text_co
     # Of each class the row with the least id stands for all; its key finds its text again.
     one = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "k1", "k2", "n", "sig", "bands")).alias("r")
     classes = every.where("n > 0").groupBy("fp").agg(one).select("fp", "r.id", "r.k1", "r.k2", "r.n", "r.sig", "r.bands")
-    classes = cut(classes)
+    classes = cut(gathered(classes, every.count()))
     size = classes.count()
     # The least hashes of a set are the same whatever their place, registers are not.
     banded = classes.select("fp", F.posexplode("bands").alias("band", "hash")).withColumn("band", F.lit(0) if exact else F.col("band"))
     candidates = join_totals(banded, size * REGISTERS // 4, ["band", "hash"], F.min("fp").alias("least")).select("fp", "least").where("fp <> least").distinct()
-    clusters = connected_components(candidates, "fp", "least").select(F.col("vertex").alias("fp"), F.col("component").alias("cluster"))
+    most = None if exact else size * (REGISTERS // band_rows(threshold))
+    clusters = connected_components(candidates, "fp", "least", most).select(F.col("vertex").alias("fp"), F.col("component").alias("cluster"))
     members = classes.drop("bands").join(clusters, "fp")
-    links = _links(members, keyed.select("k1", "k2", "text"), width, threshold, exact)
-    groups = connected_components(links).select(F.col("vertex").alias("fp"), F.col("component").alias("group"))
-    grouped = cut(classes.select("fp", "id", "k1", "k2").join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp")))
+    links = _links(members, size, keyed.select("k1", "k2", "text"), width, threshold, exact)
+    groups = connected_components(links, most=links.count()).select(F.col("vertex").alias("fp"), F.col("component").alias("group"))
+    grouped = cut(gathered(classes.select("fp", "id", "k1", "k2").join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp")), size))
     least = join_totals(grouped, size, ["group"], F.min(F.struct(F.col("id").isNull().alias("no"), "id", "k1", "k2")).alias("l"))
     named = least.select("fp", F.col("l.id").alias("component_id"), F.struct("l.k1", "l.k2").alias("first"))
     some = every.where("n > 0").select("id", "k1", "k2", "n", "fp").join(named, "fp").select("id", "k1", "k2", "n", "component_id", "first")
