@@ -19,11 +19,15 @@ def blob_lines(s: SparkSession, d: str) -> DataFrame:
 
 
 def blob_lines_sharded(s: SparkSession, d: str) -> DataFrame:
-    """Lines of each of four byte ranges of each document: a line belongs to the range it starts in, bounds to the earlier one."""
+    """Lines of each of four byte ranges of each document: a line belongs to the range it starts in, bounds to the earlier one.
+
+    Texts under four bytes have ranges without bytes: their first line is in the first, what follows in the last.
+    """
     docs = table(s, d, "documents").select("doc_id", "text", F.floor(F.octet_length("text") / 4).cast("long").alias("chunk"))
     lines = blobs.record_offsets(docs, "text", "doc_id", "chunk")
-    shard = F.when((F.col("chunk") == 0) & (F.col("offset") > 0), 3).otherwise(F.least(F.lit(3), F.greatest(F.ceil(F.col("offset") / F.col("chunk")) - 1, F.lit(0))))
-    return lines.groupBy("doc_id", F.coalesce(shard, F.lit(0)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    start, chunk = F.col("offset"), F.col("chunk")
+    shard = F.when(start == 0, 0).when(chunk == 0, 3).otherwise(F.least(F.lit(3), F.greatest(F.ceil(start / chunk) - 1, F.lit(0))))
+    return lines.groupBy("doc_id", shard.cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def blob_records(s: SparkSession, d: str) -> DataFrame:
